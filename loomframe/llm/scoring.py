@@ -2,8 +2,10 @@
 
 Every word is scored by the summed probability of all its segmentations into the pieces of an existing vocabulary, by
 log-space forward recursion; a text's probability is the product over its words and one end. The pieces' probabilities
-start from the vocabulary's own scores and are re-estimated from the expected uses in all training texts. A word
-frequency model with additive smoothing stands beside it for comparison.
+start from the vocabulary's own scores and are re-estimated from the expected uses in all different training words. A
+word seen in training has one more arc in its lattice, the word as a whole, weighed by its count less an absolute
+discount; the discounts add up to what the other segmentations share. A word frequency model with additive smoothing
+stands beside it for comparison.
 """
 
 from __future__ import annotations
@@ -68,63 +70,72 @@ def _units(words: list[bytes]) -> list[str]:
 
 
 class LatticeModel:
-    """weights: log probability of each piece; end: of the end of a text."""
+    """weights: log probability of each piece; tokens, kinds, discount: N, V and D of the words learned from, which give a
+    word w of count c the probability max(c - D, 0) / N + D * V / N * (sum over its segmentations)."""
 
-    def __init__(self, shipped, weights: np.ndarray, end: float):
-        self.shipped, self.weights, self.end = shipped, weights, end
+    def __init__(self, shipped, weights: np.ndarray, tokens: int, kinds: int, discount: float):
+        self.shipped, self.weights, self.tokens, self.kinds, self.discount = shipped, weights, tokens, kinds, discount
 
     @staticmethod
     def fit(words: DataFrame, model_path: str, rounds: int = 2, extra: float = 0.05) -> LatticeModel:
-        """From the table of words (word, n): `rounds` steps of expectation maximisation over all its words. What
-        reaches the driver has one number per piece."""
+        """From the table of words (word, n): `rounds` steps of expectation maximisation over all words that training
+        texts have, each counting once, as what is rare in words is what the pieces are for. What reaches the driver has
+        one number per piece."""
         spark = words.sparkSession
         shipped = ship(spark, model_path)
         pieces, controls, weights = shipped.value
         usable = np.ones(len(pieces), dtype=bool)
         usable[list(controls)] = False
-        end, learned = -1.0, words.where("n > 0")
-        for _ in range(rounds):
+        learned = words.where("n > 0")
+        size = learned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+        discount = min(0.95, max(0.1, size.once / (size.once + 2 * size.twice))) if size.once else 0.5
+        for _ in range(rounds if size.n else 0):
             now = spark.sparkContext.broadcast(weights)
 
             def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
                 names, no_match, _ = shipped.value
-                out, ends = np.zeros(len(names)), 0
+                out = np.zeros(len(names))
                 for b in batches:
-                    listed, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-                    ends += sum(int(k) for w, k in zip(listed, n, strict=True) if w == END)
+                    listed = [w for w in b.column(0).to_pylist() if w != END]
                     for i, j in _groups(listed):
-                        own = [(w, k) for w, k in zip(listed[i:j], n[i:j], strict=True) if w != END]
-                        if own:
-                            out += Lattice(_units([w for w, _ in own]), vocabulary(names, no_match), now.value).expected(np.array([k for _, k in own]), len(names))
+                        out += Lattice(_units(listed[i:j]), vocabulary(names, no_match), now.value).expected(np.ones(j - i), len(names))
                 used = np.flatnonzero(out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(out[used], float(ends)))], ["piece", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(out[used])], ["piece", "n"])
 
-            sums = {r.piece: r.n for r in learned.select("word", "n").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
             uses = np.where(usable, extra, 0.0)
-            for piece, n in sums.items():
-                if piece >= 0:
-                    uses[piece] += n
-            ends = sums.get(-1, 0.0) + extra
+            for r in learned.select("word").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+                uses[r.piece] += r.n
             with np.errstate(divide="ignore"):
-                weights, end = np.log(uses / (uses.sum() + ends)), float(np.log(ends / (uses.sum() + ends)))
-        return LatticeModel(shipped, weights, end)
+                weights = np.log(uses / uses.sum())
+        return LatticeModel(shipped, weights, int(size.n), int(size.v), discount)
+
+    def joined(self, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Log probabilities of words from their counts and the summed log weights of their segmentations."""
+        if not self.tokens:
+            return totals
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(np.maximum(counts - self.discount, 0.0) / self.tokens), np.log(self.discount * self.kinds / self.tokens) + totals)
+
+    def end(self, count: int) -> float:
+        """Log probability of the end of a text."""
+        return float(np.log((count - self.discount if count else 0.1) / max(1, self.tokens)))
 
     def scored(self, words: DataFrame) -> DataFrame:
         """words (word, n, seen) with logp: log10 of the word's probability."""
-        shipped, now, end = self.shipped, words.sparkSession.sparkContext.broadcast(self.weights), self.end
+        shipped, now = self.shipped, words.sparkSession.sparkContext.broadcast(self.weights)
+        rest = (self.tokens, self.kinds, self.discount)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, no_match, _ = shipped.value
-            vocab = vocabulary(names, no_match)
+            vocab, own_model = vocabulary(names, no_match), LatticeModel(None, now.value, *rest)
             for b in batches:
-                listed = b.column(0).to_pylist()
+                listed, n = b.column(0).to_pylist(), b.column(1).to_numpy()
                 out = np.zeros(len(listed))
                 for i, j in _groups(listed):
                     own = [k for k in range(i, j) if listed[k] != END]
                     if own:
                         lattice = Lattice(_units([listed[k] for k in own]), vocab, now.value)
-                        out[own] = lattice.totals(lattice.forward())
-                out[[k for k, w in enumerate(listed) if w == END]] = end
+                        out[own] = own_model.joined(n[own], lattice.totals(lattice.forward()))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out / LOG10)], names=[*b.schema.names, "logp"])
 
         return words.mapInArrow(run, "word binary, n long, seen long, logp double")
@@ -177,7 +188,6 @@ def score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     words = materialize(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), "words")
     model = LatticeModel.fit(words, model_path, rounds)
     words = materialize(model.scored(words), "scored")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, 1)), F.lit(0)).alias("v")).first()
     level = F.floor(F.log2("seen") * 8)
     cut = total = None
     for r in sorted(words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.level):
@@ -194,7 +204,7 @@ def score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     joined = rare.join(words.where(level < cut) if cut is not None else words, "word").groupBy("row").agg(
         F.sum(F.col("k") * F.log10(F.col("n") + 0.1)).alias("more_base"), F.sum(F.col("k") * F.col("logp")).alias("more_score"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known")
     )
-    end = words.where(F.col("word") == F.lit(END)).select("n", "logp").first()
+    end = words.where(F.col("word") == F.lit(END)).select("n").first()
     ends = end.n if end else 0
     plus = lambda c: F.coalesce(f"more_{c}", F.lit(0))
     return (
@@ -205,8 +215,8 @@ def score(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
             "held_out",
             (F.col("n_words") + 1).alias("n_tokens"),
             (F.col("n_known") + plus("known") + int(ends > 0)).cast("long").alias("n_known"),
-            F.lit(int(size.n)).cast("long").alias("train_tokens"),
-            (F.col("base") + plus("base") + float(np.log10(ends + 0.1)) - (F.col("n_words") + 1) * float(np.log10(size.n + 0.1 * (size.v + 1)))).alias("base_score"),
-            (F.col("score") + plus("score") + model.end / LOG10).alias("score"),
+            F.lit(model.tokens).cast("long").alias("train_tokens"),
+            (F.col("base") + plus("base") + float(np.log10(ends + 0.1)) - (F.col("n_words") + 1) * float(np.log10(model.tokens + 0.1 * (model.kinds + 1)))).alias("base_score"),
+            (F.col("score") + plus("score") + model.end(ends) / LOG10).alias("score"),
         )
     )
