@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 SPACE = "▁"
+#: Stands for a space mark that a text itself holds: a surrogate, so no character of any text.
+MARK = 0xD800
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
@@ -26,6 +28,7 @@ class Vocabulary:
     def __init__(self, pieces: list[str], controls: frozenset[int]):
         self.pieces = pieces
         self.byte_ids = np.full(256, -1, dtype=np.int64)
+        self.bytes_by_id: dict[int, int] = {}
         self.longest = 1
         children: list[dict[str, int]] = [{}]
         ids = [-1]
@@ -33,6 +36,7 @@ class Vocabulary:
             byte = _BYTE.match(piece)
             if byte:
                 self.byte_ids[int(byte[1], 16)] = i
+                self.bytes_by_id[i] = int(byte[1], 16)
             elif i not in controls and piece:
                 node = 0
                 for c in piece:
@@ -76,7 +80,7 @@ class Vocabulary:
 
     def spelled(self, char: int) -> list[int]:
         """The byte pieces of a character."""
-        return self.byte_ids[list(chr(char).encode("utf-8", "surrogatepass"))].tolist()
+        return self.byte_ids[list((SPACE if char == MARK else chr(char)).encode("utf-8", "surrogatepass"))].tolist()
 
     def byte_weights(self, chars: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Summed weights of the byte pieces of characters."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.llm import chat, exact_dedup, language, mixing, quality, scoring, simhash
+from loomframe.llm import chat, exact_dedup, language, mixing, quality, sampling, scoring, simhash
 
 #: A public vocabulary file; read on the driver only.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.round_trip(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(_table(spark, sf_dir, "documents"), PIECES)
 
@@ -45,5 +49,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language_id, op4_lm_score, op6_exact_dedup, op7_simhash, op9_chat_format, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language_id, op3_sentencepiece, op4_lm_score, op6_exact_dedup, op7_simhash, op9_chat_format, op10_mix_sources)}
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE}
