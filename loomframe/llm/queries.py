@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.llm import chat, exact_dedup, language, mixing, quality, sampling, scoring, simhash
+from loomframe.llm import chat, exact_dedup, language, mixing, quality, sampling, scoring, simhash, vectors
 
 #: A public vocabulary file; read on the driver only.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.deduplicate(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language_id, op3_sentencepiece, op4_lm_score, op6_exact_dedup, op7_simhash, op9_chat_format, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language_id, op3_sentencepiece, op4_lm_score, op5_embedding_dedup, op6_exact_dedup, op7_simhash, op9_chat_format, op10_mix_sources)}
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE}
