@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomframe.llm import chat, exact_dedup, language, mixing, quality, sampling, scoring, simhash, vectors
+from loomframe.llm import chat, exact_dedup, language, mixing, quality, sampling, scoring, simhash, substrings, vectors
 
 #: A public vocabulary file; read on the driver only.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,6 +42,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -53,5 +57,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language_id, op3_sentencepiece, op4_lm_score, op5_embedding_dedup, op6_exact_dedup, op7_simhash, op9_chat_format, op10_mix_sources)}
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language_id, op3_sentencepiece, op4_lm_score, op5_embedding_dedup, op6_exact_dedup, op7_simhash, op8_substring_dedup, op9_chat_format, op10_mix_sources)}
+ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op8_substring_dedup": substrings.ORACLE, "op9_chat_format": chat.ORACLE}
