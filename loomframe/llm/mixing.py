@@ -102,7 +102,7 @@ class Mixture:
     the rows and the seed.
     """
 
-    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, block_words=64, shard_slots=64, most_shards=1024, most_sources=100_000, seed=7):
+    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, block_words=64, shard_slots=16, most_shards=1024, most_sources=100_000, seed=7):
         self.block_words = block_words
         words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
         self.rows = materialize(docs.select("*", F.monotonically_increasing_id().alias("__row"), words.alias("__size")), "rows")
