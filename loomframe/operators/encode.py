@@ -22,6 +22,10 @@ def onehot(df: DataFrame, columns: str | Sequence[str], prefix: bool = True, dro
         if len(found) > most:
             raise LoomError(f"'{c}' has more than {most} values")
         values = sorted(found)[1 if drop_first else 0 :]
+        taken = {x.lower() for x in df.columns}
+        for v in values:
+            if (f"{c}_{v}" if prefix else v).lower() in taken:
+                raise LoomError(f"there is a column '{f'{c}_{v}' if prefix else v}' already", "Names differ by more than case")
         df = df.withColumns({f"{c}_{v}" if prefix else v: F.coalesce(text == v, F.lit(False)).cast("int") for v in values})
     return df
 

@@ -90,9 +90,9 @@ def formula_profit_margin(t):
     return _round(lf.formulas.profit_margin_pct(t("part"), revenue="p_retailprice", cost="p_size").select("p_partkey", "profit_margin_pct"), 6)
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * power(1 + l_tax, l_quantity), 5) AS compound_interest FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / 7.0 * power(1 + l_tax, l_quantity), 4) AS compound_interest FROM lineitem")
 def formula_compound_interest(t):
-    return _round(lf.formulas.compound_interest(t("lineitem"), principal="l_extendedprice", rate="l_tax", periods="l_quantity").select("l_orderkey", "l_linenumber", "compound_interest"), 5)
+    return _round(lf.formulas.compound_interest(t("lineitem").withColumn("lent", F.col("l_extendedprice") / 7.0), principal="lent", rate="l_tax", periods="l_quantity").select("l_orderkey", "l_linenumber", "compound_interest"), 4)
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 18.5 THEN 'underweight' WHEN p_size < 25 THEN 'normal' WHEN p_size < 30 THEN 'overweight' ELSE 'obese' END AS bmi_category FROM part")
