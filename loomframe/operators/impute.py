@@ -66,6 +66,26 @@ def fill_total(df: DataFrame, column: str, how: str, name: str) -> DataFrame:
     return joined.withColumn(name, F.coalesce(x, F.col("__total"))).drop("__total")
 
 
+def zoned(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
+    """df with __zone: rows dealt to ranges of a number, date or timestamp, by approximate quantiles; nulls before all."""
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = df.agg(F.percentile_approx(quoted(order), F.array(*map(F.lit, shares)), F.lit(1000))).first()[0] if shares else None
+    zone = F.lit(0)
+    for b in sorted(set(bounds or [])):
+        zone = zone + (quoted(order) >= F.lit(b)).cast("int")
+    return df.withColumn("__zone", F.coalesce(zone, F.lit(-1)))
+
+
+def numbered(df: DataFrame, order: str, name: str, ranges: int = 64) -> DataFrame:
+    """Row numbers from 0 in an order, ranked range by range; only the sizes of ranges are summed in one place."""
+    dealt = zoned(df, order, ranges)
+    sizes = dealt.groupBy("__zone").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__zone").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("__zone", before.alias("__before")))  # one row per range
+    inside = F.row_number().over(Window.partitionBy("__zone").orderBy(quoted(order).asc_nulls_first())) - 1
+    return dealt.withColumn("__i", inside).join(offsets, "__zone").withColumn(name, (F.col("__before") + F.col("__i")).cast("long")).drop("__zone", "__i", "__before")
+
+
 def _beside(df: DataFrame, column: str, order: str, within: Sequence[str], name: str, forward: bool, ranges: int) -> DataFrame:
     """df with a struct column: order key and value of the last non-null value up to a row (or the next one from it on).
 
@@ -76,13 +96,7 @@ def _beside(df: DataFrame, column: str, order: str, within: Sequence[str], name:
     pick = F.last if forward else F.first
     if within:
         return df.withColumn(name, pick(here, True).over(Window.partitionBy(*map(quoted, within)).orderBy(quoted(order)).rowsBetween(*span)))
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(quoted(order), F.array(*map(F.lit, shares)), F.lit(1000))).first()[0] if shares else None
-    bounds = sorted(set(bounds or []))
-    zone = F.lit(0)
-    for b in bounds:
-        zone = zone + (quoted(order) >= F.lit(b)).cast("int")
-    dealt = df.withColumn("__zone", F.coalesce(zone, F.lit(-1)))
+    dealt = zoned(df, order, ranges)
     ends = dealt.groupBy("__zone").agg((F.max_by if forward else F.min_by)(here, F.when(quoted(column).isNotNull(), quoted(order))).alias("__end"))
     across = Window.orderBy("__zone").rowsBetween(*((Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)))
     carried = ends.select("__zone", pick("__end", True).over(across).alias("__carried"))  # one row per range

@@ -11,11 +11,13 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.errors import LoomError, need_columns
 from loomframe.functions.formulas import identifiers
 from loomframe.operators import aggregate as agg
 from loomframe.operators import columns as cols
+from loomframe.operators import impute
 from loomframe.operators.lookup import lookup
 
 ROW_ID, ROW_IDS = "_row_id", "_row_ids"
@@ -50,9 +52,12 @@ class Traced:
 
     @staticmethod
     def start(df: DataFrame, order_by: str | Sequence[str] | None = None) -> Traced:
-        """Rows are numbered from 0 in an order, or else get numbers that are unique but not consecutive."""
-        if order_by:
-            keys = [order_by] if isinstance(order_by, str) else list(order_by)
+        """Rows are numbered from 0 in an order, or else get numbers that are unique but not consecutive. By one number,
+        date or timestamp they are ranked range by range; by other keys, all in one task."""
+        keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
+        if len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            numbered = impute.numbered(df, keys[0], ROW_ID)
+        elif keys:
             numbered = df.withColumn(ROW_ID, (F.row_number().over(Window.orderBy(*map(cols.quoted, keys))) - 1).cast("long"))
         else:
             numbered = df.withColumn(ROW_ID, F.monotonically_increasing_id())
