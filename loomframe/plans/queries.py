@@ -90,9 +90,9 @@ def formula_profit_margin(t):
     return _round(lf.formulas.profit_margin_pct(t("part"), revenue="p_retailprice", cost="p_size").select("p_partkey", "profit_margin_pct"), 6)
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / 7.0 * power(1 + l_tax, l_quantity), 4) AS compound_interest FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * 0.123456789 * power(1 + l_tax, l_quantity), 4) AS compound_interest FROM lineitem")
 def formula_compound_interest(t):
-    return _round(lf.formulas.compound_interest(t("lineitem").withColumn("lent", F.col("l_extendedprice") / 7.0), principal="lent", rate="l_tax", periods="l_quantity").select("l_orderkey", "l_linenumber", "compound_interest"), 4)
+    return _round(lf.formulas.compound_interest(t("lineitem").withColumn("lent", F.col("l_extendedprice") * 0.123456789), principal="lent", rate="l_tax", periods="l_quantity").select("l_orderkey", "l_linenumber", "compound_interest"), 4)
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 18.5 THEN 'underweight' WHEN p_size < 25 THEN 'normal' WHEN p_size < 30 THEN 'overweight' ELSE 'obese' END AS bmi_category FROM part")
@@ -276,6 +276,46 @@ def join_anti(t):
     return matched(t("customer").select(F.col("c_custkey").alias("o_custkey")), t("orders"), ["o_custkey"], False).withColumnRenamed("o_custkey", "c_custkey")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def join_semi(t):
+    from loomframe.operators.lookup import matched
+
+    return matched(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), t("orders"), ["o_custkey"]).withColumnRenamed("o_custkey", "c_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def lookup_repeated_keys(t):
+    from loomframe.operators.aggregate import repeated_keys
+
+    return repeated_keys(t("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT s_suppkey, s_nationkey, r.x FROM supplier LEFT JOIN (SELECT c_nationkey, min(c_nationkey % 5) AS x FROM customer GROUP BY 1) r ON s_nationkey = c_nationkey")
+def lookup_agg_auto(t):
+    ref = t("customer").select(F.col("c_nationkey").alias("s_nationkey"), (F.col("c_nationkey") % 5).alias("x"))
+    return lf.to(t("supplier").select("s_suppkey", "s_nationkey"), ref, "x", "s_nationkey", strategy={"x": "auto"})
+
+
+@query("WITH n AS (SELECT o_custkey, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT o_custkey, arg_min(v, row(n, v)) AS x FROM n GROUP BY 1) SELECT c_custkey AS o_custkey, x FROM customer LEFT JOIN r ON c_custkey = o_custkey")
+def lookup_agg_least_common(t):
+    return lf.to(t("customer").select(F.col("c_custkey").alias("o_custkey")), t("orders"), [("o_orderpriority", "x")], "o_custkey", strategy={"o_orderpriority": "least_common"})
+
+
+@query("SELECT n_nationkey, upper(trim(n_name)) AS u, length(n_name) AS n, coalesce(NULL, n_name) AS c FROM nation")
+def calc_text_functions(t):
+    return lf.transform("@calc", t("nation"), strategy={"u": "upper(n_name)", "n": "length(n_name)", "c": "coalesce(null, n_name)"}).select("n_nationkey", "u", "n", "c")
+
+
+@query("SELECT event_id, hour(ts)::INTEGER AS ts_hour, minute(ts)::INTEGER AS ts_minute, CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS ts_time_of_day FROM events")
+def extract_time(t):
+    return lf.transform("@extract", t("events"), "ts", strategy=["hour", "minute", "time_of_day"]).select("event_id", "ts_hour", "ts_minute", "ts_time_of_day")
+
+
+@query(f"SELECT 'v' AS \"column\", count(*) - count(v) AS null_count FROM {'(SELECT CASE WHEN event_id % 7 <> 0 THEN value END AS v, event_id FROM events)'}")
+def analyze_focus_nulls(t):
+    return lf.analyze(_gaps(t), columns=["v", "event_id"], focus="nulls")
+
+
 # ---- rounding, text, dates, units
 
 
