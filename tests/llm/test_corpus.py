@@ -497,3 +497,16 @@ def test_pipeline(spark):
             before = docs
     assert docs.count() > 0
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == docs.count()
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, none):
+            out = stage(spark, docs, "/nowhere")
+            rows = out.collect()
+            assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
+            assert rows if docs is odd else not rows
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, odd, "").collect()}
+    assert kept == {3, 4, 5, 6, 7, 10, None}
