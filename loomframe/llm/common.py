@@ -41,6 +41,11 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now: it does so when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_remainder(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col) % modulus

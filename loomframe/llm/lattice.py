@@ -47,6 +47,9 @@ class Vocabulary:
                     node = children[node][c]
                 ids[node] = i
                 self.longest = max(self.longest, len(piece))
+        self.spaced = [p.replace(SPACE, " ") for p in pieces]
+        self.is_byte = np.zeros(len(pieces), dtype=bool)
+        self.is_byte[list(self.bytes_by_id)] = True
         self.piece_at = np.array(ids, dtype=np.int32)
         self.first = np.full(0x110000, -1, dtype=np.int32)
         for c, node in children[0].items():

@@ -78,16 +78,15 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 24) ->
 def _slots(seed: int, at_once: int = 100_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for source, shard, first, count, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for start in range(0, count, at_once):
-                    k = np.arange(first + start, first + min(count, start + at_once), dtype=np.int64)
-                    n = np.full(len(k), blocks, dtype=np.int64)
-                    with np.errstate(over="ignore"):
-                        key = mixed((k // blocks).astype(np.uint64) + mixed(np.full(len(k), (seed << 32) + source, dtype=np.uint64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), source, np.int32)), pa.array(np.full(len(k), shard, np.int32)), pa.array(k), pa.array(permuted(k % blocks, n, key))],
-                        ["source_at", "shard", "slot", "block"],
-                    )
+            source, shard, first, count, blocks = (c.to_numpy() for c in b.columns)
+            ends = np.cumsum(count)
+            for start in range(0, int(ends[-1]) if len(ends) else 0, at_once):
+                place = np.arange(start, min(int(ends[-1]), start + at_once), dtype=np.int64)
+                row = np.searchsorted(ends, place, side="right")
+                k, n = first[row] + place - (ends - count)[row], blocks[row]
+                with np.errstate(over="ignore"):
+                    key = mixed((k // n).astype(np.uint64) + mixed((np.uint64(seed) << np.uint64(32)) + source[row].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(source[row]), pa.array(shard[row]), pa.array(k), pa.array(permuted(k % n, n, key))], ["source_at", "shard", "slot", "block"])
 
     return run
 

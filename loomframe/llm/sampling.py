@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +36,25 @@ def units_of(text: str) -> list[str]:
         return []
     if SPACE in text:
         text = text.replace(SPACE, chr(MARK))
-    return UNIT.findall((SPACE + text).replace(" ", SPACE))
+    if "  " in text or text[0] == " ":
+        return UNIT.findall((SPACE + text).replace(" ", SPACE))
+    # the same for single spaces
+    return list(filter(None, (SPACE + text).replace(" ", " " + SPACE).replace("\n", " \n ").split(" ")))
 
 
 class Units:
     """Arcs with their conditional probabilities for a growing set of units.
 
     Per state (a place inside a unit): its first arc, the likeliest first; per arc: cumulated and own probability given
-    the state, next state (-1: the unit ends), piece. `root` is the first state of each unit. From `most_arcs` on, units
+    the state, the logs of that and of what it leaves to the others, next state (-1: the unit ends), piece. `root` is the first state of each unit. From `most_arcs` on, units
     not met before are kept for one call only; by then all frequent ones are there.
     """
 
-    def __init__(self, vocab, weights: np.ndarray, most_arcs: int = 2_500_000):
+    def __init__(self, vocab, weights: np.ndarray, most_arcs: int = 1_500_000):
         self.vocab, self.weights, self.most_arcs = vocab, weights, most_arcs
         self.at: dict[str, int] = {}
-        self.sizes = {"root": 0, "first": 1, "upto": 0, "own": 0, "next": 0, "piece": 0}
-        kinds = {"root": np.int64, "first": np.int64, "upto": np.float64, "own": np.float64, "next": np.int64, "piece": np.int32}
+        self.sizes = {"root": 0, "first": 1, "upto": 0, "own": 0, "log": 0, "rest": 0, "next": 0, "piece": 0}
+        kinds = {"root": np.int64, "first": np.int64, "upto": np.float64, "own": np.float64, "log": np.float64, "rest": np.float64, "next": np.int64, "piece": np.int32}
         for name, kind in kinds.items():
             setattr(self, name, np.zeros(1024, dtype=kind))
         self._kept: dict[str, int] | None = None
@@ -60,7 +63,7 @@ class Units:
     def _append(self, name: str, values: np.ndarray) -> None:
         old, n = getattr(self, name), self.sizes[name]
         if n + len(values) > len(old):
-            new = np.zeros(max(2 * len(old), n + len(values)), dtype=old.dtype)
+            new = np.zeros(max(len(old) * 3 // 2, n + len(values)), dtype=old.dtype)
             new[:n] = old[:n]
             setattr(self, name, new)
             old = new
@@ -77,14 +80,15 @@ class Units:
         elif self.sizes["own"] > self.most_arcs:
             self._kept = dict(self.sizes)
         flat = list(chain.from_iterable(texts))
-        got = list(map(self.at.get, flat))
-        new = list(dict.fromkeys(u for u, g in zip(flat, got, strict=True) if g is None)) if None in got else []
-        if new:
+        got = np.fromiter(map(self.at.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        open_ = np.flatnonzero(got < 0).tolist()
+        if open_:
+            new = list(dict.fromkeys(flat[i] for i in open_))
             self._add(new)
             if self._kept is not None:
                 self._passing = new
-            got = list(map(self.at.__getitem__, flat))
-        return np.array(got, dtype=np.int64)
+            got[open_] = [self.at[flat[i]] for i in open_]
+        return got
 
     def _add(self, new: list[str]) -> None:
         lattice = Lattice(new, self.vocab, self.weights)
@@ -108,7 +112,11 @@ class Units:
         self.sizes["first"] -= 1
         self._append("first", np.append(firsts, len(start)) + base)
         self._append("upto", upto)
-        self._append("own", p / share)
+        own = np.minimum(p / share, 1.0)
+        with np.errstate(divide="ignore"):
+            self._append("log", np.log(own))
+            self._append("rest", np.where(own >= 1.0 - 1e-15, -np.inf, np.log1p(-own)))
+        self._append("own", own)
         self._append("next", np.where(inner[end], state[end], -1))
         self._append("piece", piece.astype(np.int32))
         for i, u in enumerate(new, start=len(self.at)):
@@ -160,21 +168,24 @@ class _Search:
         self.sets: list[tuple] = []
         self.results: list[tuple[np.ndarray, float, float]] = []
 
-    def seeds(self, salt: int, n: int) -> np.ndarray:
+    def counters(self, salt: int, n: int) -> np.ndarray:
+        """Numbers of the text's own for n draws."""
         with np.errstate(over="ignore"):
-            return mixed(self.key + np.uint64(salt << 40) + np.arange(n, dtype=np.uint64)) << np.uint64(12)
+            return mixed(np.array([self.key + np.uint64(salt)], dtype=np.uint64)) + np.arange(n, dtype=np.uint64)
+
+    def seeds(self, salt: int, n: int) -> np.ndarray:
+        """Numbers for n draws that take many steps each."""
+        return mixed(self.counters(salt, n)) << np.uint64(12)
 
     def accept(self, path: np.ndarray, unit: np.ndarray, fixed: int, bound: float, nth: int) -> None:
         """A new result; sets leave it from place `fixed` on."""
-        own = self.units.own[path]
-        with np.errstate(divide="ignore"):
-            log = np.log(own)
-            before = np.cumsum(log) - log
-            rest = before + np.log1p(-np.minimum(own, 1.0))
+        log = self.units.log[path]
+        before = np.cumsum(log) - log
+        rest = before + self.units.rest[path]
         rest[:fixed] = -np.inf
-        rest[own >= 1.0 - 1e-15] = -np.inf
-        u = uniforms(self.seeds(4 * nth + 1, len(path)))
-        bounds = np.where(np.isfinite(rest), truncated(rest, bound, u), -np.inf)
+        at = np.flatnonzero(rest > -np.inf)
+        bounds = np.full(len(path), -np.inf)
+        bounds[at] = truncated(rest[at], bound, uniforms(self.counters(4 * nth + 1, len(path))[at]))
         self.results.append((path, float(log.sum()), bound))
         self.sets.append([bounds, path, unit, before, {}])
 
@@ -196,7 +207,7 @@ class _Search:
         state_arcs = self._siblings(int(path[at]))
         open_ = [a for a in state_arcs if a not in out]
         p = self.units.own[open_]
-        u = uniforms(self.seeds(4 * nth + 2, 2))
+        u = uniforms(self.counters(4 * nth + 2, 2))
         arc = open_[min(len(open_) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), u[0])))]
         out.append(arc)
         left = [a for a in open_ if a != arc]
@@ -216,7 +227,7 @@ def sample(units: Units, texts: list[list[str]], keys: np.ndarray, k: int) -> li
     numbers = units.numbers(texts)
     ends = np.cumsum([len(t) for t in texts])
     searches = [_Search(units, own, key) for own, key in zip(np.split(numbers, ends[:-1]) if len(texts) else [], keys, strict=True)]
-    heads = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), -1, 0, float(-np.log(-np.log(uniforms(s.seeds(0, 1))[0])))) for s in searches]
+    heads = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), -1, 0, float(-np.log(-np.log(uniforms(s.counters(0, 1))[0])))) for s in searches]
     for nth in range(k):
         # where each text's next result goes on by free choice: inside the unit it has left, then at the units after it
         states, seeds, spans = [], [], []
@@ -274,12 +285,22 @@ def spell(vocab, pieces: np.ndarray) -> np.ndarray:
     return np.concatenate([*parts, pieces[last:]])
 
 
-def decode(vocab, ids) -> str:
+def decode(vocab, ids: np.ndarray) -> str:
     """The text of piece ids, with the space that encoding puts in front taken off."""
-    names, value = vocab.pieces, vocab.bytes_by_id
-    if value.keys().isdisjoint(ids):
-        return "".join(map(names.__getitem__, ids)).replace(SPACE, " ")[1:]
-    return b"".join(bytes((value[i],)) if i in value else names[i].replace(SPACE, " ").encode() for i in ids).decode("utf-8", "surrogatepass")[1:]
+    names, value = vocab.spaced, vocab.bytes_by_id
+    if not vocab.is_byte[ids].any():
+        return "".join(map(names.__getitem__, ids.tolist()))[1:]
+    # runs of bytes are one character or more; everything else is text already
+    parts, run = [], bytearray()
+    for i in ids.tolist():
+        if i in value:
+            run.append(value[i])
+            continue
+        if run:
+            parts.append(run.decode("utf-8", "surrogatepass"))
+            run = bytearray()
+        parts.append(names[i])
+    return ("".join(parts) + run.decode("utf-8", "surrogatepass"))[1:]
 
 
 def _encode(shipped, k: int, seed: int, most_bytes: int = 600_000):
@@ -316,6 +337,10 @@ def _encode(shipped, k: int, seed: int, most_bytes: int = 600_000):
     return run
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.lit(0)).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+
+
 def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, keep_text: bool = False) -> DataFrame:
     """Up to k sampled segmentations of each text: doc_id, (text,) sample (0 for the greatest perturbed log probability),
     pieces (ids), logp, perturbed, inclusion.
@@ -324,9 +349,13 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
     results don't depend on partitions. A null or empty text has one segmentation, of no pieces; a text with fewer than k
     has fewer rows. An empty table gives an empty result. Other columns of the input are not read.
     """
-    few = docs.select(F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.lit(0)).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    out = few.mapInArrow(_encode(ship(docs.sparkSession, model_path), k, seed), f"text string, doc_id long, {SAMPLES}")
-    return out.select("doc_id", *(["text"] if keep_text else []), "sample", "pieces", "logp", "perturbed", "inclusion")
+    encoded, keep = _encode(ship(docs.sparkSession, model_path), k, seed), keep_text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in encoded(batches):
+            yield b if keep else b.drop_columns(["text"])
+
+    return _keyed(docs, id_col, text_col).mapInArrow(run, ("text string, " if keep else "") + f"doc_id long, {SAMPLES}")
 
 
 def _verify(shipped):
@@ -334,25 +363,26 @@ def _verify(shipped):
         names, controls, _ = shipped.value
         vocab = vocabulary(names, controls)
         for big in batches:
-            for b in chunks(big, 1, 1_000_000):
+            for b in chunks(big, 0, 1_000_000):
                 decoded, hashed = [], []
-                flat, ends = b.column(2).values.to_numpy(), b.column(2).offsets.to_pylist()
+                flat, ends = b.column(3).values.to_numpy(), b.column(3).offsets.to_pylist()
                 for i, j in zip(ends[:-1], ends[1:], strict=True):
                     own = flat[i:j]
-                    decoded.append(decode(vocab, own.tolist()))
+                    decoded.append(decode(vocab, own))
                     hashed.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
-                texts = [t or "" for t in b.column(1).to_pylist()]
+                texts = [t or "" for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(hashed), pa.array([x == t for x, t in zip(decoded, texts, strict=True)]), *b.columns[3:]],
-                    names=["doc_id", "n_pieces", "pieces_sha256", "exact", *b.schema.names[3:]],
+                    [b.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(hashed), pa.array([x == t for x, t in zip(decoded, texts, strict=True)]), b.column(2), *b.columns[4:]],
+                    names=["doc_id", "n_pieces", "pieces_sha256", "exact", "sample", *b.schema.names[4:]],
                 )
 
     return run
 
 
-def round_trip(docs: DataFrame, model_path: str, k: int = 2, **options) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """Encode and decode again: per document and sample, doc_id, n_pieces, pieces_sha256 (of 32-bit little-endian ids),
-    exact (the decoded text is the original), sample, logp, perturbed, inclusion."""
+    exact (the decoded text is the original), sample, logp, perturbed, inclusion. Both steps run in one worker, so that
+    neither texts nor pieces go back and forth."""
     shipped = ship(docs.sparkSession, model_path)
-    coded = encode(docs, model_path, k, keep_text=True, **options).select("doc_id", "text", "pieces", "sample", "logp", "perturbed", "inclusion")
-    return coded.mapInArrow(_verify(shipped), "doc_id long, n_pieces long, pieces_sha256 string, exact boolean, sample int, logp double, perturbed double, inclusion double")
+    encoded, verified = _encode(shipped, k, seed), _verify(shipped)
+    return _keyed(docs, id_col, text_col).mapInArrow(lambda batches: verified(encoded(batches)), "doc_id long, n_pieces long, pieces_sha256 string, exact boolean, sample int, logp double, perturbed double, inclusion double")

@@ -20,7 +20,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import chunks, materialize, mixed, words_of
+from loomframe.llm.common import chunks, free_shuffles, materialize, mixed, words_of
 
 #: A null id counts as smaller than any other.
 NULL_ID = -(2**63)
@@ -149,7 +149,7 @@ def _passages(window: int, gram: int):
                         rows[key, words] = at
                         if held is not None:
                             again.append((key, *held))  # noqa: B023
-                    else:
+                    elif at != held:  # else a repeated row
                         again.append((key, *at))  # noqa: B023
 
                 for d, sha8, text, suspect, hot in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -181,10 +181,11 @@ def _occurred(window: int):
             out = []
             for k, d, sha8, start, n, passage in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if passage is None or (k == key and passage in seen):
-                    out.append((d, sha8, start, start + n + window - 1))
+                    if passage is None or seen[passage] != (d, sha8, start):  # else a repeated row
+                        out.append((d, sha8, start, start + n + window - 1))
                     continue
                 if k != key:
-                    key, seen, shard = k, {passage: None}, None
+                    key, seen, shard = k, {passage: (d, sha8, start)}, None
                     continue
                 if shard is None:
                     shard = SuffixAutomaton()
@@ -204,31 +205,37 @@ def _occurred(window: int):
                     out.append((d, sha8, start + begin, start + len(words)))
                 for word in (*words, None):
                     shard.extend(word)
-                seen[passage] = None
+                seen[passage] = (d, sha8, start)
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["d", "sha8", "start", "stop"])
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(with_text: bool):
     """(d, sha8, text, spans) to what is removed and what is left."""
-    for big in batches:
-        for b in chunks(big, 2, 2_000_000):
-            removed, left = [], []
-            for text, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                words = words_of(text)
-                edge = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edge, [s["start"] for s in spans], 1)
-                np.add.at(edge, [s["stop"] for s in spans], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                left.append(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(left, pa.large_string()).cast(pa.string())], ["d", "sha8", "removed", "left_text"])
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 4, hot: int = 400) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_text.
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in chunks(big, 2, 2_000_000):
+                removed, left = [], []
+                for text, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    words = words_of(text)
+                    edge = np.zeros(len(words) + 1, dtype=np.int64)
+                    np.add.at(edge, [s["start"] for s in spans], 1)
+                    np.add.at(edge, [s["stop"] for s in spans], -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    removed.append(int(gone.sum()))
+                    left.append(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]))
+                shas = pa.array([hashlib.sha256(x).hexdigest() for x in left])
+                texts = pa.array([x.decode("utf-8", "surrogatepass") if with_text else None for x in left], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), shas, texts], ["d", "sha8", "removed", "left_sha256", "left_text"])
+
+    return run
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, hot: int = 3000, keep_text: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, with keep_text, kept_text.
 
     Removed is each word covered by a window of `window` words that also starts earlier: in a document with a smaller id,
     or earlier in the same one. Windows are judged on the input. Documents with the same words are one to the search; all
@@ -250,28 +257,32 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     suspects = each.select("d", "anchor").join(shared, "anchor").groupBy("d").agg(F.collect_set(F.struct("anchor", "hot")).alias("x"))
     of = firsts.groupBy(F.col("first").alias("d")).agg(F.collect_list("sha8").alias("firsts"))
-    suspects = suspects.join(of, "d").select("d", F.col("x.anchor").alias("anchors"), F.col("x.hot").alias("hot"), "firsts")
+    suspects = materialize(suspects.join(of, "d").select("d", F.col("x.anchor").alias("anchors"), F.col("x.hot").alias("hot"), "firsts"), "suspects")
+    free_shuffles(docs.sparkSession)
     picked = docs.select(d, text).join(suspects, "d").select("d", "text", "anchors", "hot", "firsts")
-    picked = materialize(picked.mapInArrow(_pick, "d long, sha8 long, text string, anchors array<long>, hot array<boolean>").dropDuplicates(["d", "sha8"]), "suspects")
+    picked = materialize(picked.mapInArrow(_pick, "d long, sha8 long, text string, anchors array<long>, hot array<boolean>"), "picked")
+    free_shuffles(docs.sparkSession)
     passages = picked.mapInArrow(_passages(window, gram), PASSAGES)
     spans = passages.repartition("key").sortWithinPartitions("key", "d", "sha8", "start").mapInArrow(_occurred(window), "d long, sha8 long, start int, stop int")
     spans = materialize(spans.groupBy("d", "sha8").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    cut = picked.select("d", "sha8", "text").join(spans, ["d", "sha8"]).mapInArrow(_cut, "d long, sha8 long, removed long, left_text string")
+    free_shuffles(docs.sparkSession)
+    cut = picked.select("d", "sha8", "text").join(spans, ["d", "sha8"]).mapInArrow(_cut(keep_text), "d long, sha8 long, removed long, left_sha256 string, left_text string")
+    cut = cut.groupBy("d", "sha8").agg(*[F.first(c).alias(c) for c in ("removed", "left_sha256", *(["left_text"] if keep_text else []))])  # repeated rows
     copies = thin.join(firsts.select("sha", "first"), "sha")
     out = copies.join(cut, ["d", "sha8"], "left")
     copied = (F.col("d") != F.col("first")) & (F.col("n_words") >= window)
-    return out.select(
+    columns = [
         F.when(~F.col("is_null"), F.col("d")).alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copied, F.lit("")).otherwise(F.col("left_text")).alias("kept_text"),
-        F.lower(F.hex("sha")).alias("words_sha256"),
-    )
+        F.when(copied, F.lit(EMPTY)).otherwise(F.coalesce("left_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+    ]
+    return out.select(*columns, *([F.when(copied, F.lit("")).otherwise(F.col("left_text")).alias("kept_text")] if keep_text else []))
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
-    """deduplicate() with the SHA-256 of what is left in place of the text: doc_id, n_words, n_removed, kept_sha256."""
-    return deduplicate(docs, **options).select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept_text", 256), F.col("words_sha256")).alias("kept_sha256"))
+    """deduplicate() without the texts: doc_id, n_words, n_removed, kept_sha256."""
+    return deduplicate(docs, keep_text=False, **options)
 
 
 ORACLE = r"""

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,21 +105,32 @@ def _chosen(u: int, v: np.ndarray, fresh: np.ndarray, turn: int, most: int) -> n
 def _edges(turn: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            us, vs, fs = [], [], []
-            for u, v, fresh in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                v, fresh = np.array(v, dtype=np.int64), np.array(fresh, dtype=bool)
-                own = _chosen(u, v, fresh, turn, most)
-                us.append(np.full(int(own.sum()), u))
-                vs.append(v[own])
-                fs.append(fresh[own])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, fs)], ["c", "m", "fresh"])
+            ends, (v,) = _lists(b.column(1))
+            fresh = _lists(b.column(2))[1][0].astype(bool)
+            us = b.column(0).to_numpy()
+            own = np.zeros(len(v), dtype=bool)
+            for i, u in enumerate(us.tolist()):
+                at = slice(ends[i], ends[i + 1])
+                own[at] = _chosen(u, v[at], fresh[at], turn, most)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(us, np.diff(ends))[own]), pa.array(v[own]), pa.array(fresh[own])], ["c", "m", "fresh"])
 
     return run
 
 
-def _join(threshold: float):
+def _join(threshold: float, most: int = 300_000):
+    """Pairs of neighbours of a node that are nearer than what one of them has. In a dense group many nodes find the same
+    pair: a task gives it out once for every `most` finds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            u, v, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((v, u))
+            u, v, s = u[order], v[order], s[order]
+            first = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))
+            return _candidates(u[first], v[first], s[first])
+
         for b in _by_group(batches, 256):
             fresh = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             if b.num_rows < 2 or not fresh.any():
@@ -127,46 +139,68 @@ def _join(threshold: float):
             s = x @ x.T
             good = (fresh[:, None] | fresh[None, :]) & (s > floor[:, None]) & (ids[:, None] != ids[None, :])
             i, j = np.nonzero(good)
-            yield _candidates(ids[i], ids[j], s[i, j])
+            held.append((ids[i], ids[j], s[i, j]))
+            size += len(i)
+            if size > most:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return run
 
 
+def _lists(column: pa.Array, *fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and flat values of a list column (null: empty); fields: of a list of structs."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    values = [flat.field(i) if pa.types.is_struct(flat.type) else flat for i in fields or (0,)]
+    return np.append(0, np.cumsum(lengths)), [x.to_numpy(zero_copy_only=False) for x in values]
+
+
 def _merge(turn: int, most: int, start_k: int, threshold: float):
-    """(u, k, v, s, fresh, found) to the new list, and how many links it gained."""
+    """(u, k, v, s, fresh, found) to the new list, and how many links it gained. Lists stay in Arrow's flat arrays, and go
+    out in pieces of a million entries, as those of large groups are long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for u, k, v, s, fresh, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k = k or start_k
-                v, s, fresh = np.array(v or [], dtype=np.int64), np.array(s or [], dtype=np.float64), np.array(fresh or [], dtype=bool)
+            us, ks = b.column(0).to_numpy(), pc.fill_null(b.column(1), start_k).to_numpy(zero_copy_only=False)
+            ends, (old_v,) = _lists(b.column(2))
+            old_s, old_fresh = _lists(b.column(3))[1][0], _lists(b.column(4))[1][0].astype(bool)
+            found_ends, (found_v, found_s) = _lists(b.column(5), 0, 1)
+            out, size = [], 0
+            for i, (u, k) in enumerate(zip(us.tolist(), ks.tolist(), strict=True)):
+                own, new = slice(ends[i], ends[i + 1]), slice(found_ends[i], found_ends[i + 1])
+                v, s, fresh = old_v[own], old_s[own], old_fresh[own]
                 before = int((s >= threshold).sum())
                 if turn >= 0 and len(v):
-                    fresh &= ~_chosen(u, v, fresh, turn, most)
-                if found:
-                    known = set(v.tolist())
-                    new = {f["v"]: f["s"] for f in found if f["v"] not in known}
-                    v = np.concatenate([v, np.fromiter(new, dtype=np.int64, count=len(new))])
-                    s = np.concatenate([s, np.fromiter(new.values(), dtype=np.float64, count=len(new))])
-                    fresh = np.concatenate([fresh, np.ones(len(new), dtype=bool)])
-                    best = np.lexsort((v, -s))
+                    fresh = fresh & ~_chosen(u, v, fresh, turn, most)
+                if new.stop > new.start:
+                    unknown = ~np.isin(found_v[new], v)
+                    v, s = np.concatenate([v, found_v[new][unknown]]), np.concatenate([s, found_s[new][unknown]])
+                    fresh = np.concatenate([fresh, np.ones(int(unknown.sum()), dtype=bool)])
                     while k <= int((s >= threshold).sum()):
                         k *= 4
-                    best = best[:k]
+                    best = np.lexsort((v, -s))[:k]
                     v, s, fresh = v[best], s[best], fresh[best]
                 out.append((u, k, v, s, fresh, int((s >= threshold).sum()) - before))
+                size += len(v)
+                if size > 1_000_000:
+                    yield _packed(out)
+                    out, size = [], 0
             if out:
-                u, k, v, s, fresh, gained = zip(*out, strict=True)
-                ends = pa.array(np.append(0, np.cumsum([len(x) for x in v])).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u, pa.int64()), pa.array(k, pa.int32()), *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (v, s, fresh)), pa.array(gained, pa.int64())],
-                    ["u", "k", "v", "s", "fresh", "gained"],
-                )
+                yield _packed(out)
 
     return run
 
 
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    u, k, v, s, fresh, gained = zip(*rows, strict=True)
+    ends = pa.array(np.append(0, np.cumsum([len(x) for x in v])).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (v, s, fresh)]
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(k, pa.int32()), *lists, pa.array(gained, pa.int64())], ["u", "k", "v", "s", "fresh", "gained"])
+
+
 def _recall(v: DataFrame, lists: DataFrame, threshold: float, linked: int = 64, others: int = 192) -> float:
     """Recall of links for a sample of nodes with and without links, picked by hash, against all vectors."""
     has = F.exists("s", lambda x: x >= threshold)
