@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -46,6 +47,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: workers stay, and their allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def id_remainder(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col) % modulus

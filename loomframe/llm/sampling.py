@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import chunks, mixed, uniforms
+from loomframe.llm.common import chunks, give_back, mixed, uniforms
 from loomframe.llm.lattice import MARK, SPACE, Lattice, ship, vocabulary
 
 UNIT = re.compile(r"▁*[^▁\n]+|▁+|\n")
@@ -45,16 +45,17 @@ def units_of(text: str) -> list[str]:
 class Units:
     """Arcs with their conditional probabilities for a growing set of units.
 
-    Per state (a place inside a unit): its first arc, the likeliest first; per arc: cumulated and own probability given
-    the state, the logs of that and of what it leaves to the others, next state (-1: the unit ends), piece. `root` is the first state of each unit. From `most_arcs` on, units
-    not met before are kept for one call only; by then all frequent ones are there.
+    Per state (a place inside a unit): its first arc, the likeliest first; per arc: cumulated probability given the
+    state, the logs of its own and of what it leaves to the others, next state (-1: the unit ends), piece. `root` is the
+    first state of each unit. From `most_arcs` on, units not met before are kept for one call only; by then all frequent
+    ones are there.
     """
 
     def __init__(self, vocab, weights: np.ndarray, most_arcs: int = 1_500_000):
         self.vocab, self.weights, self.most_arcs = vocab, weights, most_arcs
         self.at: dict[str, int] = {}
-        self.sizes = {"root": 0, "first": 1, "upto": 0, "own": 0, "log": 0, "rest": 0, "next": 0, "piece": 0}
-        kinds = {"root": np.int64, "first": np.int64, "upto": np.float64, "own": np.float64, "log": np.float64, "rest": np.float64, "next": np.int64, "piece": np.int32}
+        self.sizes = {"root": 0, "first": 1, "upto": 0, "log": 0, "rest": 0, "next": 0, "piece": 0}
+        kinds = {"root": np.int64, "first": np.int64, "upto": np.float64, "log": np.float64, "rest": np.float64, "next": np.int32, "piece": np.int32}
         for name, kind in kinds.items():
             setattr(self, name, np.zeros(1024, dtype=kind))
         self._kept: dict[str, int] | None = None
@@ -77,7 +78,7 @@ class Units:
                 del self.at[u]
             self.sizes = dict(self._kept)
             self._passing = []
-        elif self.sizes["own"] > self.most_arcs:
+        elif self.sizes["log"] > self.most_arcs:
             self._kept = dict(self.sizes)
         flat = list(chain.from_iterable(texts))
         got = np.fromiter(map(self.at.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
@@ -107,7 +108,7 @@ class Units:
         share = np.repeat(total[lasts] - before, counts)
         upto = (total - np.repeat(before, counts)) / share
         upto[lasts] = 1.0
-        base = self.sizes["own"]
+        base = self.sizes["log"]
         self._append("root", state[lattice.rank])
         self.sizes["first"] -= 1
         self._append("first", np.append(firsts, len(start)) + base)
@@ -116,7 +117,6 @@ class Units:
         with np.errstate(divide="ignore"):
             self._append("log", np.log(own))
             self._append("rest", np.where(own >= 1.0 - 1e-15, -np.inf, np.log1p(-own)))
-        self._append("own", own)
         self._append("next", np.where(inner[end], state[end], -1))
         self._append("piece", piece.astype(np.int32))
         for i, u in enumerate(new, start=len(self.at)):
@@ -206,12 +206,12 @@ class _Search:
         out = ruled.setdefault(at, [int(path[at])])
         state_arcs = self._siblings(int(path[at]))
         open_ = [a for a in state_arcs if a not in out]
-        p = self.units.own[open_]
+        p = np.exp(self.units.log[open_])
         u = uniforms(self.counters(4 * nth + 2, 2))
         arc = open_[min(len(open_) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), u[0])))]
         out.append(arc)
         left = [a for a in open_ if a != arc]
-        mass = float(self.units.own[left].sum()) if left else 0.0
+        mass = float(np.exp(self.units.log[left]).sum()) if left else 0.0
         bounds[at] = float(truncated(np.array([before[at] + np.log(mass)]), bound, u[1:])[0]) if mass > 0 else -np.inf
         return np.append(path[:at], arc), int(unit[at])
 
@@ -303,7 +303,7 @@ def decode(vocab, ids: np.ndarray) -> str:
     return ("".join(parts) + run.decode("utf-8", "surrogatepass"))[1:]
 
 
-def _encode(shipped, k: int, seed: int, most_bytes: int = 600_000):
+def _encode(shipped, k: int, seed: int, most_bytes: int = 200_000):
     held: dict[str, Units] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,6 +333,9 @@ def _encode(shipped, k: int, seed: int, most_bytes: int = 600_000):
                     [*picked.columns[1:], pa.array(nth, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), *(pa.array(x, pa.float64()) for x in (logp, perturbed, inclusion))],
                     names=[*b.schema.names[1:], "sample", "pieces", "logp", "perturbed", "inclusion"],
                 )
+        held.clear()
+        del units
+        give_back()
 
     return run
 
