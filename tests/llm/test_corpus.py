@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat, common, components, exact_dedup, language, lattice, mixing, quality, queries, sampling, scoring, simhash, substrings, vectors
+from loomframe.llm import chat, common, components, exact_dedup, language, lattice, mixing, near, quality, queries, sampling, scoring, simhash, substrings, vectors
 from tests.oracle import assert_same, tables
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, keep_id long, row long, word string, cell int"
@@ -158,6 +158,45 @@ def test_simhash_crowds(spark, monkeypatch, crowd):
     assert [got.get(i, i) for i in range(len(prints))] == brute_components(len(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
 
 
+def brute_near(docs, shingle=5, percent=80):
+    """The smallest id of each group, and the number of links between different sets."""
+    sets = []
+    for r in docs:
+        words = (r.text or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))})
+    near_by = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    found = brute_components(len(docs), near_by)
+    return {min(docs[i].doc_id for i in range(len(docs)) if found[i] == c) for c in set(found)}, sum(near_by(a, b) and sets[a] != sets[b] for a in range(len(docs)) for b in range(a))
+
+
+@pytest.mark.parametrize("sampled", [1, 16])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, sampled):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    line = rng.choice(vocabulary, 12).tolist()
+    texts = []
+    for i in range(60):
+        own = rng.choice(vocabulary, rng.integers(3, 160)).tolist() + (line if i % 3 == 0 else [])
+        texts.append(own)
+        for _ in range(i % 4):
+            copy = list(own)
+            for at in rng.integers(0, len(copy), max(1, len(copy) // 60)):
+                copy[at] = "changed"
+            texts.append(copy)
+    monkeypatch.setattr(near, "SAMPLED", sampled)
+    docs = documents(spark, *map(" ".join, texts))
+    wanted, links = brute_near(sorted(docs.collect(), key=lambda r: r.doc_id))
+    assert links > 30
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == wanted
+
+
+def test_near_copies_of_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert {r.doc_id for r in near.deduplicate(docs).collect()} == brute_near(docs.select("doc_id", "text").orderBy("doc_id").collect())[0]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]
