@@ -2,9 +2,9 @@
 
 A neighbour graph starts from vectors that fall into the same cells of random hyperplanes, and is refined by joining
 the neighbours of every node with one another. A list whose every neighbour is above the threshold is saturated and is
-enlarged. Rounds go on until one finds no new link and no list is saturated; then the recall of a sample is audited by
-brute force, and cells of new hyperplanes and further rounds follow while it is too low. Edges above the threshold are
-the links.
+enlarged. Rounds go on until one finds no new link and no list is saturated; then the recall of sampled nodes is audited by
+brute force, apart for large groups, small groups and nodes without links, and cells of new hyperplanes and further rounds
+follow while one of these is too low. Edges above the threshold are the links.
 """
 
 from __future__ import annotations
@@ -201,20 +201,26 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(k, pa.int32()), *lists, pa.array(gained, pa.int64())], ["u", "k", "v", "s", "fresh", "gained"])
 
 
-def _recall(v: DataFrame, lists: DataFrame, threshold: float, linked: int = 64, others: int = 192) -> float:
-    """Recall of links for a sample of nodes with and without links, picked by hash, against all vectors."""
-    has = F.exists("s", lambda x: x >= threshold)
-    kept = lists.withColumn("n", F.size(F.filter("s", lambda x: x >= threshold))).select("u", "n", F.xxhash64("u").alias("h"), has.alias("has"))
-    picked = [r for flag, k in ((True, linked), (False, others)) for r in kept.where(F.col("has") == flag).orderBy("h").limit(k).collect()]
+#: Nodes with so many links count as members of a large group in the audit.
+LARGE = 32
+
+
+def _recall(v: DataFrame, lists: DataFrame, threshold: float, seed: int = 0, linked: int = 200, others: int = 600) -> float:
+    """The recall of links, against all vectors, as the least of three means over sampled nodes, each of which counts alike
+    however many links it has: nodes in large groups, other nodes with links, and nodes without (1 if they have none)."""
+    found = F.size(F.filter("s", lambda x: x >= threshold))
+    kept = lists.select("u", F.when(found >= LARGE, 2).when(found > 0, 1).otherwise(0).alias("stratum"), F.xxhash64("u", F.lit(seed)).alias("h"))
+    picked = [r for stratum, k in ((2, linked), (1, linked), (0, others)) for r in kept.where(F.col("stratum") == stratum).orderBy("h").limit(k).collect()]
     if not picked:
         return 1.0
-    ids = [r.u for r in picked]
-    asked = v.where(F.col("u").isin(ids)).select("u", "vec").toArrow()
-    shared = v.sparkSession.sparkContext.broadcast((asked.column("u").to_numpy(), [np.array(x, dtype=np.float64) for x in asked.column("vec").to_pylist()]))
+    spark, ids = v.sparkSession, [r.u for r in picked]
+    sample = F.broadcast(spark.createDataFrame([(u,) for u in ids], "u long"))
+    asked = v.join(sample, "u", "left_semi").select("u", "vec").toArrow()
+    shared = spark.sparkContext.broadcast((asked.column("u").to_numpy(), [np.array(x, dtype=np.float64) for x in asked.column("vec").to_pylist()]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, queries = shared.value
-        total = 0
+        total = np.zeros(len(own), dtype=np.int64)
         for b in batches:
             lengths = np.diff(b.column(1).offsets.to_numpy())
             for length in np.unique(lengths):
@@ -223,11 +229,19 @@ def _recall(v: DataFrame, lists: DataFrame, threshold: float, linked: int = 64,
                 if at:
                     q = np.stack([queries[i] for i in at])
                     s = _matrix(part.column(1)) @ (q / np.linalg.norm(q, axis=1, keepdims=True)).T
-                    total += int(((s >= threshold) & (part.column(0).to_numpy()[:, None] != own[at][None, :])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+                    total[at] += ((s >= threshold) & (part.column(0).to_numpy()[:, None] != own[at][None, :])).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], ["u", "n"])
 
-    there = v.select("u", "vec").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    return min(1.0, sum(r.n for r in picked) / there) if there else 1.0
+    there = {r.u: r.n for r in v.select("u", "vec").mapInArrow(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).collect()}
+    # a link counts if either end lists it
+    near = lists.select("u", F.explode(F.filter(F.arrays_zip("v", "s"), lambda x: x["s"] >= threshold)).alias("x")).select("u", F.col("x.v").alias("v"))
+    own = near.join(sample, "u", "left_semi").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")).join(sample, "u", "left_semi")).distinct()
+    got = {r.u: r.n for r in own.groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()}
+    means = []
+    for stratum in (2, 1, 0):
+        shares = [min(1.0, got.get(r.u, 0) / there[r.u]) if there.get(r.u) else 1.0 for r in picked if r.stratum == stratum]
+        means += [sum(shares) / len(shares)] if shares else []
+    return min(means)
 
 
 def neighbour_links(v: DataFrame, threshold: float = 0.95, k: int = 8, most: int = 24, tables: int = 8, wanted: float = 0.995, most_turns: int = 24, seed: int = 5) -> DataFrame:
@@ -235,7 +249,7 @@ def neighbour_links(v: DataFrame, threshold: float = 0.95, k: int = 8, most: int
     lists, turn, planes, gained = None, 0, 0, 1
     while True:
         if lists is None or not gained:
-            if lists is not None and (turn >= most_turns or _recall(v, lists, threshold) >= wanted):
+            if lists is not None and (turn >= most_turns or _recall(v, lists, threshold, planes) >= wanted):
                 break
             found = _cells(v, tables, seed + planes)
             planes += 1

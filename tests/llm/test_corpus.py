@@ -348,6 +348,25 @@ def test_vectors(spark):
     assert vectors.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A group of 120 near vectors, 30 pairs and 60 others."""
+    rng = np.random.default_rng(12)
+    near_by = lambda x: x + rng.standard_normal(x.shape) * 0.01
+    pairs = rng.standard_normal((30, 32))
+    x = np.concatenate([near_by(np.tile(rng.standard_normal(32), (120, 1))), pairs, near_by(pairs), rng.standard_normal((60, 32))])
+    return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "u long, vec array<double>").cache()
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark, skewed):
+    large = [(u, 512, [w for w in range(120) if w != u], [1.0] * 119, [False] * 119) for u in range(120)]
+    small = {u: u + 30 if u < 150 else u - 30 for u in range(120, 180)}
+    lists = lambda lost: spark.createDataFrame(large + [(u, 8, [] if u in lost or w in lost else [w], [] if u in lost or w in lost else [1.0], []) for u, w in small.items()] + [(u, 8, [], [], []) for u in range(180, 240)], vectors.LISTS)
+    assert vectors._recall(skewed, lists(()), 0.95) == 1.0
+    # 10 pairs lost of 30 are 20 links of 14,340
+    assert vectors._recall(skewed, lists(range(120, 130)), 0.95) < 0.9
+
+
 # ---- language and quality
 
 
