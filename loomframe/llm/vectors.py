@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.errors import LoomError
 from loomframe.llm.common import drop_table, materialize, mixed
 from loomframe.llm.components import components
 
@@ -244,13 +245,18 @@ def _recall(v: DataFrame, lists: DataFrame, threshold: float, seed: int = 0, lin
     return min(means)
 
 
-def neighbour_links(v: DataFrame, threshold: float = 0.95, k: int = 8, most: int = 24, tables: int = 8, wanted: float = 0.995, most_turns: int = 24, seed: int = 5) -> DataFrame:
-    """v: u long, vec array<float>, all different and valid. Links u, v, s in both directions."""
+def neighbour_links(v: DataFrame, threshold: float = 0.95, k: int = 8, most: int = 24, tables: int = 8, wanted: float = 0.995, most_audits: int = 24, seed: int = 5) -> DataFrame:
+    """v: u long, vec array<float>, all different and valid. Links u, v, s in both directions. An error is raised if so many
+    audits have failed; there is no bound on the rounds between them, each of which finds a link at least."""
     lists, turn, planes, gained = None, 0, 0, 1
     while True:
         if lists is None or not gained:
-            if lists is not None and (turn >= most_turns or _recall(v, lists, threshold, planes) >= wanted):
-                break
+            if lists is not None:
+                recall = _recall(v, lists, threshold, planes)
+                if recall >= wanted:
+                    break
+                if planes >= most_audits:
+                    raise LoomError(f"near vectors: a recall of {recall:.4f} after {planes} audits, {wanted} is wanted", "Raise tables or most_audits")
             found = _cells(v, tables, seed + planes)
             planes += 1
             mark = -1

@@ -367,6 +367,15 @@ def test_audit_sees_small_groups_beside_a_large_one(spark, skewed):
     assert vectors._recall(skewed, lists(range(120, 130)), 0.95) < 0.9
 
 
+def test_audit_runs_after_any_number_of_rounds(spark, skewed, monkeypatch):
+    asked = []
+    monkeypatch.setattr(vectors, "_recall", lambda *args, **_: asked.append(1) or (1.0 if len(asked) == 3 else 0.0))
+    assert vectors.neighbour_links(skewed, most=4, k=2).count() == 120 * 119 + 60 and len(asked) == 3
+    monkeypatch.setattr(vectors, "_recall", lambda *_, **__: 0.0)
+    with pytest.raises(vectors.LoomError, match="recall"):
+        vectors.neighbour_links(skewed, most_audits=2)
+
+
 # ---- language and quality
 
 
