@@ -83,13 +83,12 @@ class Traced:
         pairs = [(b, b) if isinstance(b, str) else tuple(b) for b in ([bring] if isinstance(bring, str) else bring)]
         return self._then("to", lookup(self.df, reference, bring, against, **options), {d: Source("brought", tuple(keys), s) for s, d in pairs}, bring=[d for _, d in pairs], against=keys)
 
-    def aggregate(self, by: str | Sequence[str], strategy: Mapping, most_ids: int = 1000, **options) -> Traced:
-        """Each group keeps the smallest `most_ids` of its row numbers."""
+    def aggregate(self, by: str | Sequence[str], strategy: Mapping, **options) -> Traced:
+        """Each group keeps all its row numbers, in order."""
         by = [by] if isinstance(by, str) else list(by)
         outputs = {k: (v if isinstance(v, tuple) else (k, v)) for k, v in strategy.items()}
         result = agg.aggregate(self.df, by, {k: v for k, v in outputs.items()}, **options)
-        nth = F.row_number().over(Window.partitionBy(*map(cols.quoted, by)).orderBy(ROW_ID))
-        ids = self.df.select(*map(cols.quoted, by), ROW_ID).withColumn("n", nth).where(F.col("n") <= most_ids).groupBy(*map(cols.quoted, by)).agg(F.array_sort(F.collect_list(ROW_ID)).alias(ROW_IDS))
+        ids = self.df.groupBy(*map(cols.quoted, by)).agg(F.array_sort(F.collect_list(ROW_ID)).alias(ROW_IDS))
         on = F.lit(True)
         ids = ids.select(*[cols.quoted(k).alias(f"__{k}") for k in by], ROW_IDS)
         for k in by:

@@ -287,6 +287,13 @@ def test_synthetic(spark):
     assert lf.synthetic(small, 5).count() == 7 and {r.s for r in lf.synthetic(small, 5).collect()} <= {"a", None}
 
 
+def test_lineage_keeps_all_rows_of_large_groups(spark):
+    df = spark.range(2500).select("id", (F.col("id") % 2).alias("g"))
+    traced = lineage.Traced.start(df, "id").filter("id < 2400").aggregate("g", {"id": "sum"})
+    assert {r.g: r._row_ids for r in traced.df.collect()} == {g: list(range(g, 2400, 2)) for g in (0, 1)}
+    assert sorted(r.id for r in traced.excluded().collect()) == list(range(2400, 2500))
+
+
 def test_lineage(spark):
     df = frame(spark, "id int, v int, g string", (1, 1, "a"), (2, 2, "a"), (3, 3, "b"))
     ref = frame(spark, "id int, n string", (1, "x"))
