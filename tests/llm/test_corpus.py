@@ -192,6 +192,13 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, sampled):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == wanted
 
 
+def test_near_copies_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    docs = documents(spark, "a b c d e f g", "p q r s t u v", "A b c d e f g", "x", ids=[1, 1, 2, None])
+    assert rows(corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text")) == rows(docs.where("doc_id = 1 OR doc_id IS NULL").select("doc_id", "text"))
+
+
 def test_near_copies_of_given_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert {r.doc_id for r in near.deduplicate(docs).collect()} == brute_near(docs.select("doc_id", "text").orderBy("doc_id").collect())[0]
