@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomframe.errors import LoomError, need_columns
 from loomframe.operators.columns import quoted
+from loomframe.operators.impute import numbered
 
 
 def onehot(df: DataFrame, columns: str | Sequence[str], prefix: bool = True, drop_first: bool = False, most: int = 10_000) -> DataFrame:
@@ -31,17 +32,13 @@ def onehot(df: DataFrame, columns: str | Sequence[str], prefix: bool = True, dro
 
 
 def label(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
-    """{c}_code: 0 to n - 1 over the values sorted as strings; NULL stays NULL. Ranks are given to the distinct values only;
-    the code of a value is the number of values before its range partition plus its rank in there."""
+    """{c}_code: 0 to n - 1 over the values sorted as strings; NULL stays NULL. Ranks are given to the distinct values only,
+    range by range, where the ranges are cut by a sample of the values."""
     columns = [columns] if isinstance(columns, str) else list(columns)
     need_columns(df.columns, columns)
     for c in columns:
         values = df.select(quoted(c).cast("string").alias("__v")).where("__v IS NOT NULL").distinct()
-        head = values.select("__v", F.substring("__v", 1, 2).alias("__head"))
-        sizes = head.groupBy("__head").agg(F.count(F.lit(1)).alias("__n"))
-        before = F.coalesce(F.sum("__n").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inside = F.row_number().over(Window.partitionBy("__head").orderBy("__v")) - 1
-        codes = head.withColumn("__i", inside).join(sizes.withColumn("__before", before), "__head").select("__v", (F.col("__before") + F.col("__i")).cast("int").alias(f"{c}_code"))
+        codes = numbered(values, "__v", f"{c}_code").withColumn(f"{c}_code", F.col(f"{c}_code").cast("int"))
         df = df.join(codes, quoted(c).cast("string") == F.col("__v"), "left").drop("__v")
     return df
 

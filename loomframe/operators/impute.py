@@ -5,10 +5,11 @@ Every method adds a column ({c}_infer, or {c}_infer_01 and so on where that is t
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,58 +67,82 @@ def fill_total(df: DataFrame, column: str, how: str, name: str) -> DataFrame:
     return joined.withColumn(name, F.coalesce(x, F.col("__total"))).drop("__total")
 
 
-def zoned(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    """df with __zone: rows dealt to ranges of a number, date or timestamp, by approximate quantiles; nulls before all."""
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(quoted(order), F.array(*map(F.lit, shares)), F.lit(1000))).first()[0] if shares else None
-    zone = F.lit(0)
-    for b in sorted(set(bounds or [])):
-        zone = zone + (quoted(order) >= F.lit(b)).cast("int")
-    return df.withColumn("__zone", F.coalesce(zone, F.lit(-1)))
-
-
-def numbered(df: DataFrame, order: str, name: str, ranges: int = 64) -> DataFrame:
-    """Row numbers from 0 in an order, ranked range by range; only the sizes of ranges are summed in one place."""
-    dealt = zoned(df, order, ranges)
+#: Rows of one range, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 500_000, 20_000
+_CUT_BY_QUANTILES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _zone(x: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are at most x."""
+    if len(bounds) <= 32:
+        return sum(((x >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+    own = F.array(*map(F.lit, bounds))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(own, at + step - 1) <= x, at + step).otherwise(at))
+
+
+def zoned(df: DataFrame, order: str, rows: int | None = None) -> DataFrame:
+    """df with __zone: rows dealt to ranges of a key by approximate quantiles, of a sample where the key is no number, date
+    or timestamp; nulls before all. There are as many ranges as the number of rows asks for, which takes a job or two; small
+    frames are one range."""
+    x, n = quoted(order), df.count()
+    ranges, bounds = min(MOST_RANGES, -(-n // (rows or RANGE_ROWS))), []
+    if ranges > 1 and isinstance(df.schema[order].dataType, _CUT_BY_QUANTILES):
+        shares = [i / ranges for i in range(1, ranges)]
+        bounds = df.agg(F.percentile_approx(x, F.array(*map(F.lit, shares)), F.lit(max(1000, 10 * ranges)))).first()[0] or []
+    elif ranges > 1:
+        some = df.select(x.alias("x")).where(x.isNotNull()).sample(min(1.0, 40 * ranges / n), 1).limit(80 * ranges)
+        found = sorted(r.x for r in some.collect())
+        bounds = [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
+    return df.withColumn("__zone", F.coalesce(_zone(x, sorted(set(bounds))), F.lit(-1)))
+
+
+def numbered(df: DataFrame, order: str | Sequence[str], name: str, rows: int | None = None) -> DataFrame:
+    """Row numbers from 0 in an order, ranked range by range of the first key; only the sizes of ranges are summed in one
+    place."""
+    keys = [order] if isinstance(order, str) else list(order)
+    dealt = zoned(df, keys[0], rows)
     sizes = dealt.groupBy("__zone").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__zone").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("__zone", before.alias("__before")))  # one row per range
-    inside = F.row_number().over(Window.partitionBy("__zone").orderBy(quoted(order).asc_nulls_first())) - 1
+    inside = F.row_number().over(Window.partitionBy("__zone").orderBy(*[quoted(k).asc_nulls_first() for k in keys])) - 1
     return dealt.withColumn("__i", inside).join(offsets, "__zone").withColumn(name, (F.col("__before") + F.col("__i")).cast("long")).drop("__zone", "__i", "__before")
 
 
-def _beside(df: DataFrame, column: str, order: str, within: Sequence[str], name: str, forward: bool, ranges: int) -> DataFrame:
-    """df with a struct column: order key and value of the last non-null value up to a row (or the next one from it on).
+def _beside(df: DataFrame, column: str, order: str, within: Sequence[str], sides: Mapping[str, bool], rows: int | None) -> DataFrame:
+    """df with struct columns: order key and value of the last non-null value up to a row (True), or of the next one from it
+    on (False). Both are running windows, the second along the falling key.
 
-    Without groups, rows are dealt to ranges of the key, whose bounds are approximate quantiles; what comes in from other
-    ranges is at most one value for each of them, so that no task has to see all rows."""
+    Without groups, rows are dealt to ranges of the key, once; what comes in from other ranges is at most one value for each
+    of them, so that no task has to see all rows."""
     here = F.when(quoted(column).isNotNull(), F.struct(quoted(order).alias("at"), quoted(column).alias("value")))
-    span = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
-    pick = F.last if forward else F.first
+    dealt = df if within else zoned(df, order, rows)
+    parts = Window.partitionBy(*map(quoted, within)) if within else Window.partitionBy("__zone")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    near = {name: F.last(here, True).over(parts.orderBy(quoted(order).asc() if up else quoted(order).desc()).rowsBetween(*upto)) for name, up in sides.items()}
     if within:
-        return df.withColumn(name, pick(here, True).over(Window.partitionBy(*map(quoted, within)).orderBy(quoted(order)).rowsBetween(*span)))
-    dealt = zoned(df, order, ranges)
-    ends = dealt.groupBy("__zone").agg((F.max_by if forward else F.min_by)(here, F.when(quoted(column).isNotNull(), quoted(order))).alias("__end"))
-    across = Window.orderBy("__zone").rowsBetween(*((Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)))
-    carried = ends.select("__zone", pick("__end", True).over(across).alias("__carried"))  # one row per range
-    inside = pick(here, True).over(Window.partitionBy("__zone").orderBy(quoted(order)).rowsBetween(*span))
-    return dealt.withColumn("__inside", inside).join(F.broadcast(carried), "__zone").withColumn(name, F.coalesce("__inside", "__carried")).drop("__zone", "__inside", "__carried")
+        return dealt.withColumns(near)
+    at = F.when(quoted(column).isNotNull(), quoted(order))
+    ends = dealt.groupBy("__zone").agg(*[(F.max_by if up else F.min_by)(here, at).alias(f"__end_{name}") for name, up in sides.items()])
+    # one row per range
+    across = lambda up: Window.orderBy(F.col("__zone").asc() if up else F.col("__zone").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__zone", *[F.last(f"__end_{name}", True).over(across(up)).alias(f"__carried_{name}") for name, up in sides.items()])
+    joined = dealt.withColumns(near).join(F.broadcast(carried), "__zone")
+    return joined.withColumns({name: F.coalesce(F.col(name), F.col(f"__carried_{name}")) for name in sides}).drop("__zone", *[f"__carried_{name}" for name in sides])
 
 
-def fill_along(df: DataFrame, column: str, how: str, order_by: str | None, within: Sequence[str], name: str, ranges: int = 64) -> DataFrame:
+def fill_along(df: DataFrame, column: str, how: str, order_by: str | None, within: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
     """forward: last non-null value before; backward: next one; interpolate: linear between both, along the order key,
     NULL before the first and behind the last."""
     if not order_by:
         raise LoomError(f"'{how}' needs an order", "order_by='...'")
     need_columns(df.columns, [order_by])
-    if not isinstance(df.schema[order_by].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) and not within:
-        raise LoomError(f"'{order_by}' can't be cut into ranges", "Order by a number, date or timestamp, or give groups")
-    if how == "forward":
-        return _beside(df, column, order_by, within, "__near", True, ranges).withColumn(name, F.col("__near.value")).drop("__near")
-    if how == "backward":
-        return _beside(df, column, order_by, within, "__near", False, ranges).withColumn(name, F.col("__near.value")).drop("__near")
+    if how in ("forward", "backward"):
+        return _beside(df, column, order_by, within, {"__near": how == "forward"}, rows).withColumn(name, F.col("__near.value")).drop("__near")
     numeric(df, [column])
-    both = _beside(_beside(df, column, order_by, within, "__before", True, ranges), column, order_by, within, "__after", False, ranges)
+    if not isinstance(df.schema[order_by].dataType, _CUT_BY_QUANTILES):
+        raise LoomError(f"there is nothing between two values of '{order_by}'", "Order by a number, date or timestamp")
+    both = _beside(df, column, order_by, within, {"__before": True, "__after": False}, rows)
     kind = df.schema[order_by].dataType
     if isinstance(kind, T.DateType):
         at = lambda c: F.unix_date(c).cast("double")
@@ -147,13 +172,41 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.where(va @ vb.T == 0, 0.0, np.where((xx == 0) | (yy == 0), 1.0, cosine))
 
 
+def _cells(asked: DataFrame, n_asked: int, rows: DataFrame, n_rows: int, block: int, run, schema: str) -> DataFrame:
+    """Every row of one frame against every row of another, block by block: run(blocks of both) in a task for each pair of
+    blocks. Both frames have a column id."""
+    p, q = max(1, -(-n_asked // block)), max(1, -(-n_rows // (10 * block)))
+    deal = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64("id"), F.lit(n)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
+    a, b = deal(asked, "p", p, "q", q), deal(rows, "q", q, "p", p)
+    return a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(run, schema)
+
+
+def _nearest(metric: str, k: int, shape: list[str]):
+    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        ids, own, other = asked["id"].to_numpy(), asked[shape].to_numpy(dtype=float), rows["id"].to_numpy()
+        columns = rows[shape].to_numpy(dtype=float)
+        held = pd.DataFrame({"q": [], "d": [], "r": [], "v": []}, dtype=float)
+        for start in range(0, len(rows), 2000):
+            part = slice(start, start + 2000)
+            d = _distances(own, columns[part], metric)
+            d[ids[:, None] == other[part][None, :]] = np.inf
+            if d.shape[1] > k:  # what is behind the k-th distance can't be among the nearest
+                d[d > np.partition(d, k - 1, axis=1)[:, k - 1 : k]] = np.inf
+            i, j = np.nonzero(np.isfinite(d))
+            new = pd.DataFrame({"q": ids[i], "d": d[i, j], "r": other[part][j], "v": rows["v"].to_numpy()[part][j]}, dtype=float)
+            held = pd.concat([held, new]).sort_values(["q", "d", "r"]).groupby("q").head(k)
+        return held
+
+    return run
+
+
 def knn(df: DataFrame, columns: Sequence[str], k: int = 5, weights: str = "uniform", metric: str = "euclidean", features: Sequence[str] | str | None = None, names=None, order_by: str | None = None, block: int = 5000) -> DataFrame:
     """NULL replaced by the mean of the k nearest rows, by features (default: all other numeric columns; 'self': the
     imputed columns alone). Neighbours are ordered by distance, then by order_by, and counted before those without a
     value drop out; if none has one, the result stays NULL. weights: uniform, or distance (1 / (d + 1e-10)).
 
-    Rows with a gap are broadcast in blocks of `block`; every partition keeps its k nearest for each, and the best k of
-    those are merged, so that work is rows x gaps but no task or broadcast grows with both."""
+    Rows with a gap meet all rows block by block, in tasks of bounded size; each keeps the k nearest of its block, and the
+    best k of those are merged. The work is rows x gaps."""
     columns = list(columns)
     numeric(df, columns)
     if weights not in ("uniform", "distance") or metric not in ("euclidean", "manhattan", "cosine"):
@@ -165,51 +218,25 @@ def knn(df: DataFrame, columns: Sequence[str], k: int = 5, weights: str = "unifo
         features = columns
     features = list(features) if features else [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in columns and f.name != order_by]
     need_columns(df.columns, features)
-    spark = df.sparkSession
-    for c in columns:
-        state = df.agg(F.count(F.lit(1)).alias("n"), F.count(quoted(c)).alias("seen")).first()
-        if not state.seen:
+    state = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(quoted(c)).alias(f"seen{i}") for i, c in enumerate(columns)]).first()
+    for i, c in enumerate(columns):
+        if not state[f"seen{i}"]:
             raise LoomError(f"column '{c}' has no value at all")
         if not 0 < k < state.n:
             raise LoomError(f"k must be between 1 and {state.n - 1}")
-    base = df.select(quoted(order_by).cast("double").alias("__id"), *[quoted(x).cast("double").alias(f"f{i}") for i, x in enumerate(features)], *[quoted(x).cast("double").alias(f"v{i}") for i, x in enumerate(columns)])
+    base = df.select(quoted(order_by).cast("double").alias("id"), *[quoted(x).cast("double").alias(f"f{i}") for i, x in enumerate(features)], *[quoted(x).cast("double").alias(f"v{i}") for i, x in enumerate(columns)])
     shape = [f"f{i}" for i in range(len(features))]
     for i, c in enumerate(columns):
-        gaps = base.where(F.col(f"v{i}").isNull()).select("__id", *shape)
-        filled = None
-        missing = gaps.count()
-        asked = gaps.withColumn("__block", F.pmod(F.xxhash64("__id"), F.lit(max(1, -(-missing // block)))))
-        for number in range(-(-missing // block)):
-            one = asked.where(F.col("__block") == number).drop("__block").toPandas()
-            shared = spark.sparkContext.broadcast((one["__id"].to_numpy(), one[shape].to_numpy(dtype=float)))
-
-            def nearest(parts: Iterator[pd.DataFrame], shared=shared, value=f"v{i}") -> Iterator[pd.DataFrame]:
-                ids, rows = shared.value
-                held = [pd.DataFrame({"q": [], "d": [], "__id": [], "v": []})]
-                for part in parts:
-                    for start in range(0, len(part), 2000):
-                        own = part.iloc[start : start + 2000]
-                        d = _distances(rows, own[shape].to_numpy(dtype=float), metric)
-                        other = own["__id"].to_numpy()
-                        d = np.where(ids[:, None] == other[None, :], np.inf, d)
-                        take = min(k, d.shape[1])
-                        order = np.lexsort((np.broadcast_to(other, d.shape), d), axis=1)[:, :take]
-                        at = np.repeat(np.arange(len(ids)), take)
-                        new = pd.DataFrame({"q": ids[at], "d": d[at, order.ravel()], "__id": other[order.ravel()], "v": own[value].to_numpy()[order.ravel()]})
-                        new = pd.concat([*held, new[np.isfinite(new["d"])]]) if len(held[0]) else new[np.isfinite(new["d"])]
-                        held = [new.sort_values(["q", "d", "__id"]).groupby("q").head(k)]
-                yield held[0]
-
-            near = base.mapInPandas(nearest, "q double, d double, __id double, v double")
-            best = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "__id"))).where((F.col("r") <= k) & F.col("v").isNotNull() & ~F.isnan("v"))
-            w = F.lit(1.0) if weights == "uniform" else 1.0 / (F.col("d") + 1e-10)
-            value = best.groupBy(F.col("q").alias("__q")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("__value"))
-            filled = value if filled is None else filled.unionByName(value)
-        out = (names or {}).get(c) or new_name(df, c)
-        if filled is None:
+        out, missing = (names or {}).get(c) or new_name(df, c), state.n - state[f"seen{i}"]
+        if not missing:
             df = df.withColumn(out, quoted(c).cast("double"))
-        else:
-            df = df.join(filled, quoted(order_by).cast("double") == F.col("__q"), "left").withColumn(out, F.coalesce(quoted(c).cast("double"), "__value")).drop("__q", "__value")
+            continue
+        gaps, rows = base.where(F.col(f"v{i}").isNull()).select("id", *shape), base.select("id", *shape, F.col(f"v{i}").alias("v"))
+        near = _cells(gaps, missing, rows, state.n, block, _nearest(metric, k, shape), "q double, d double, r double, v double")
+        best = near.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "r"))).where((F.col("nth") <= k) & F.col("v").isNotNull() & ~F.isnan("v"))
+        w = F.lit(1.0) if weights == "uniform" else 1.0 / (F.col("d") + 1e-10)
+        filled = best.groupBy(F.col("q").alias("__q")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("__value"))
+        df = df.join(filled, quoted(order_by).cast("double") == F.col("__q"), "left").withColumn(out, F.coalesce(quoted(c).cast("double"), "__value")).drop("__q", "__value")
     return df
 
 
@@ -228,12 +255,12 @@ def terms(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def tfidf(df: DataFrame, column: str, texts: Sequence[str], name: str, order_by: str | None = None, vocabulary: int = 1000, block: int = 5000) -> DataFrame:
+def tfidf(df: DataFrame, column: str, texts: Sequence[str], name: str, order_by: str | None = None, vocabulary: int = 1000, block: int = 2000) -> DataFrame:
     """NULL labels replaced by that of the labelled row with the most similar text: cosine of term frequency x ln(N / df)
     over the `vocabulary` most frequent terms (ties: the smaller term), fitted on labelled rows. Ties between rows go to
     the last in order_by; a text without any term has similarity 0 with all. At least three labels are needed.
 
-    Labelled rows are broadcast in blocks of `block`, each of them `vocabulary` numbers at most."""
+    Rows without a label meet labelled ones block by block, in tasks of bounded size; what the driver keeps is the terms."""
     need_columns(df.columns, [column, *texts])
     if not isinstance(df.schema[column].dataType, T.StringType):
         raise LoomError(f"label column '{column}' must be a string")
@@ -247,39 +274,39 @@ def tfidf(df: DataFrame, column: str, texts: Sequence[str], name: str, order_by:
         raise LoomError(f"tfidf needs 3 labelled rows, there are {n}")
     seen = labelled.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     top = [(r.t, r.df) for r in seen.orderBy(F.desc("df"), "t").limit(vocabulary).collect()]
-    spark = df.sparkSession
-    words = spark.sparkContext.broadcast(({t: i for i, (t, _) in enumerate(top)}, np.log(n / np.array([d for _, d in top], dtype=float)) if top else np.zeros(0)))
+    words = df.sparkSession.sparkContext.broadcast(({t: i for i, (t, _) in enumerate(top)}, np.log(n / np.array([d for _, d in top], dtype=float)) if top else np.zeros(0)))
 
-    def vectors(lists) -> np.ndarray:
+    def weighed(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Terms to the numbers and unit weights of the known ones."""
         place, idf = words.value
-        out = np.zeros((len(lists), len(place)))
-        for i, own in enumerate(lists):
-            for t in own:
-                j = place.get(t)
-                if j is not None:
-                    out[i, j] += 1.0
-            out[i] *= idf / max(1, len(own))
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
-
-    parts = max(1, -(-n // block))
-    best = None
-    dealt = labelled.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    for number in range(parts):
-        one = dealt.where(F.col("b") == number).drop("b").orderBy("id").toPandas()
-        shared = spark.sparkContext.broadcast((one["id"].to_numpy(), one["label"].to_numpy(), one["terms"].tolist()))
-
-        def nearest(pieces: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, labels, lists = shared.value
-            known = vectors(lists)
-            for piece in pieces:
-                for start in range(0, len(piece), 500):
-                    own = piece.iloc[start : start + 500]
-                    s = np.round(vectors(own["terms"].tolist()) @ known.T, 12)
-                    at = s.shape[1] - 1 - np.argmax(s[:, ::-1], axis=1)
-                    yield pd.DataFrame({"__id": own["id"].to_numpy(), "s": s[np.arange(len(s)), at], "r": ids[at], "guess": labels[at]})
-
-        found = rows.where("label IS NULL").select("id", "terms").mapInPandas(nearest, "__id double, s double, r double, guess string")
-        best = found if best is None else best.unionByName(found)
+        for b in pieces:
+            numbers, weights = [], []
+            for own in b.column(b.num_columns - 1).to_pylist():
+                at, times = np.unique(np.array([place[t] for t in own if t in place], dtype=np.int64), return_counts=True)
+                w = times * idf[at] / max(1, len(own))
+                size = np.linalg.norm(w)
+                numbers.append(at.tolist() if size else [])
+                weights.append((w / size).tolist() if size else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(numbers, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], [*b.schema.names[:-1], "terms", "weights"])
+
+    def matrix(rows: pd.DataFrame) -> np.ndarray:
+        out, lengths = np.zeros((len(rows), len(top))), rows["terms"].map(len).to_numpy(dtype=np.int64)
+        if lengths.sum():
+            out[np.repeat(np.arange(len(rows)), lengths), np.concatenate(rows["terms"].tolist()).astype(np.int64)] = np.concatenate(rows["weights"].tolist())
+        return out
+
+    def nearest(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("id")
+        x, ids, labels, out = matrix(known), known["id"].to_numpy(), known["label"].to_numpy(), []
+        for start in range(0, len(asked) if len(known) else 0, 500):
+            own = asked.iloc[start : start + 500]
+            s = np.round(matrix(own) @ x.T, 12)
+            at = s.shape[1] - 1 - np.argmax(s[:, ::-1], axis=1)
+            out.append(pd.DataFrame({"__id": own["id"].to_numpy(), "s": s[np.arange(len(s)), at], "r": ids[at], "guess": labels[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"__id": [], "s": [], "r": [], "guess": []})
+
+    vectors = rows.mapInArrow(weighed, "id double, label string, terms array<int>, weights array<double>")
+    missing = rows.where("label IS NULL").count()
+    best = _cells(vectors.where("label IS NULL").drop("label"), missing, vectors.where("label IS NOT NULL"), n, block, nearest, "__id double, s double, r double, guess string")
     guesses = best.groupBy("__id").agg(F.max_by("guess", F.struct("s", "r")).alias("__guess"))
     return df.join(guesses, quoted(order_by).cast("double") == F.col("__id"), "left").withColumn(name, F.coalesce(quoted(column), F.col("__guess"))).drop("__id", "__guess")
