@@ -1,7 +1,8 @@
 """Opt-in lineage: what was done to a frame, where columns come from, and which input rows a row stands for.
 
-The record is a plain object beside the lazy plan; rows carry their numbers in the column `_row_id`, or `_row_ids` behind
-an aggregation, so that tracing a row is a filter and not a second bookkeeping.
+The record is a plain object beside the lazy plan. Rows carry their numbers in the column `_row_id`; behind an aggregation
+they carry the group's values in `_group`, and a table of groups and row numbers stands beside, so that tracing a row is a
+filter or a join, however many rows a group has.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomframe.errors import LoomError, need_columns
 from loomframe.functions.formulas import identifiers
@@ -20,7 +20,7 @@ from loomframe.operators import columns as cols
 from loomframe.operators import impute
 from loomframe.operators.lookup import lookup
 
-ROW_ID, ROW_IDS = "_row_id", "_row_ids"
+ROW_ID, GROUP = "_row_id", "_group"
 
 
 @dataclass(frozen=True)
@@ -49,26 +49,22 @@ class Traced:
     sources: Mapping[str, Source] = field(default_factory=dict)
     operations: tuple = ()
     origin: DataFrame | None = None
+    #: Behind an aggregation: _group and _row_id.
+    members: DataFrame | None = None
 
     @staticmethod
     def start(df: DataFrame, order_by: str | Sequence[str] | None = None) -> Traced:
-        """Rows are numbered from 0 in an order, or else get numbers that are unique but not consecutive. By one number,
-        date or timestamp they are ranked range by range; by other keys, all in one task."""
-        keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
-        if len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-            numbered = impute.numbered(df, keys[0], ROW_ID)
-        elif keys:
-            numbered = df.withColumn(ROW_ID, (F.row_number().over(Window.orderBy(*map(cols.quoted, keys))) - 1).cast("long"))
-        else:
-            numbered = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+        """Rows are numbered from 0 in an order, range by range of its first key, or else get numbers that are unique but
+        not consecutive."""
+        numbered = impute.numbered(df, order_by, ROW_ID) if order_by else df.withColumn(ROW_ID, F.monotonically_increasing_id())
         return Traced(numbered, {c: Source("original") for c in df.columns}, (), numbered)
 
     @property
     def plain(self) -> DataFrame:
-        return self.df.drop(ROW_ID, ROW_IDS)
+        return self.df.drop(ROW_ID, GROUP)
 
     def _then(self, kind: str, df: DataFrame, sources: Mapping[str, Source], **parameters) -> Traced:
-        added = tuple(c for c in df.columns if c not in self.df.columns and c not in (ROW_ID, ROW_IDS))
+        added = tuple(c for c in df.columns if c not in self.df.columns and c not in (ROW_ID, GROUP))
         kept = {c: s for c, s in self.sources.items() if c in df.columns}
         return replace(self, df=df, sources={**kept, **sources}, operations=(*self.operations, Operation(kind, parameters, added, self.df, df)))
 
@@ -84,24 +80,28 @@ class Traced:
         return self._then("to", lookup(self.df, reference, bring, against, **options), {d: Source("brought", tuple(keys), s) for s, d in pairs}, bring=[d for _, d in pairs], against=keys)
 
     def aggregate(self, by: str | Sequence[str], strategy: Mapping, **options) -> Traced:
-        """Each group keeps all its row numbers, in order."""
         by = [by] if isinstance(by, str) else list(by)
         outputs = {k: (v if isinstance(v, tuple) else (k, v)) for k, v in strategy.items()}
-        result = agg.aggregate(self.df, by, {k: v for k, v in outputs.items()}, **options)
-        ids = self.df.groupBy(*map(cols.quoted, by)).agg(F.array_sort(F.collect_list(ROW_ID)).alias(ROW_IDS))
-        on = F.lit(True)
-        ids = ids.select(*[cols.quoted(k).alias(f"__{k}") for k in by], ROW_IDS)
-        for k in by:
-            on = on & cols.quoted(k).eqNullSafe(cols.quoted(f"__{k}"))
-        joined = result.join(ids, on, "left").drop(*[f"__{k}" for k in by])
-        return self._then("aggregate", joined, {o: Source("aggregated", (c, *by), m if isinstance(m, str) else str(m)) for o, (c, m) in outputs.items()}, by=by)
+        group = F.struct(*map(cols.quoted, by)).alias(GROUP)
+        members = self._linked(self.df.select(group, self.df[GROUP].alias("__before")) if self.members is not None else self.df.select(group, ROW_ID))
+        result = agg.aggregate(self.df, by, outputs, **options).withColumn(GROUP, group)
+        return replace(self._then("aggregate", result, {o: Source("aggregated", (c, *by), m if isinstance(m, str) else str(m)) for o, (c, m) in outputs.items()}, by=by), members=members)
+
+    def _linked(self, groups: DataFrame) -> DataFrame:
+        """Groups of groups to their row numbers."""
+        if self.members is None:
+            return groups
+        return groups.join(self.members.withColumnRenamed(GROUP, "__before"), "__before").select(GROUP, ROW_ID)
+
+    def row_map(self) -> DataFrame:
+        """The frame's rows with the numbers of the input rows that each stands for, one row for each number."""
+        if self.members is None:
+            return self.df
+        return self.df.join(self.members, GROUP).drop(GROUP)
 
     def excluded(self) -> DataFrame:
         """Input rows that no row of the frame stands for any more."""
-        if ROW_IDS in self.df.columns:
-            left = self.df.select(F.explode(ROW_IDS).alias(ROW_ID))
-        else:
-            left = self.df.select(ROW_ID)
+        left = self.df.select(ROW_ID) if self.members is None else self.members.join(self.df.select(GROUP), GROUP, "left_semi").select(ROW_ID)
         return self.origin.join(left, ROW_ID, "left_anti").drop(ROW_ID)
 
     def trace(self, row_ids: Sequence[int]) -> DataFrame:
@@ -160,9 +160,12 @@ def ranges(ids: DataFrame, column: str = ROW_ID) -> DataFrame:
     block = F.expr(f"`{column}` div 1000000")
     ranked = ids.select(column, block.alias("b")).distinct().withColumn("g", F.col(column) - F.row_number().over(Window.partitionBy("b").orderBy(column)))
     pieces = ranked.groupBy("b", "g").agg(F.min(column).alias("first"), F.max(column).alias("last"))
+    # only what touches the edge of a block, two pieces of each at most, can go on in the next one
+    edge = (F.col("first") == F.col("b") * 1_000_000) | (F.col("last") == F.col("b") * 1_000_000 + 999_999)
     before = F.lag("last").over(Window.orderBy("first"))
-    runs = pieces.withColumn("new", F.coalesce((F.col("first") != before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(Window.orderBy("first")))
-    return runs.groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    runs = pieces.where(edge).withColumn("new", F.coalesce((F.col("first") != before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(Window.orderBy("first")))
+    joined = runs.groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    return pieces.where(~edge).select("first", "last").unionByName(joined)
 
 
 def need_traced(x) -> Traced:
