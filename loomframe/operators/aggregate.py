@@ -50,13 +50,14 @@ def parse_mode(spec: str | Mapping) -> Mode:
 
 def aggregated(x: Column, mode: Mode, order: Column, count_nulls: bool = False, what: str = "") -> Column:
     """The aggregate of a group. order: the order of rows. auto and strict raise when run if a group has several values
-    (or rows). count counts all rows of the group if count_nulls."""
+    (or rows). count counts all rows of the group if count_nulls. Modifiers: trim and anycase change the values first,
+    fuzzy lets 'auto' take values at most two edits apart for one, and enforce_case keeps to case, as without any."""
     if mode.match == "trim":
         x = F.trim(x)
     elif mode.match == "anycase":
         x = F.lower(x)
     ordered = F.when(x.isNotNull(), F.struct(order))
-    one_value = F.countDistinct(x) <= 1
+    one_value = F.min(x).eqNullSafe(F.max(x))
     if mode.match == "fuzzy":
         values = F.collect_set(x)
         low = F.array_min(values)
@@ -140,6 +141,19 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(present).groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+def repeats(df: DataFrame, keys: Sequence[str], examples: int = 5) -> DataFrame:
+    """One row: rows, different keys, keys that repeat, rows that have such a key, their percentage, and the `examples`
+    keys of most rows (ties: the smallest), as texts 'value,value (rows)'."""
+    by = df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("n"))
+    many = F.col("n") > 1
+    text = F.concat_ws(",", *[F.coalesce(quoted(k).cast("string"), F.lit("null")) for k in keys])
+    top = by.where(many).select("n", text.alias("key")).orderBy(F.desc("n"), "key").limit(examples)
+    shown = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))), lambda x: F.concat(x["key"], F.lit(" ("), (-x["n"]).cast("string"), F.lit(")"))).alias("examples"))
+    of = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("keys"), F.count_if(many).alias("repeated_keys"), F.coalesce(F.sum(F.when(many, F.col("n"))), F.lit(0)).alias("repeated_rows"))
+    percent = F.coalesce(F.try_divide(F.col("repeated_rows") * 100.0, F.col("rows")), F.lit(0.0))
+    return of.withColumn("percent", percent).crossJoin(F.broadcast(shown))  # one row each
+
+
 def need_unique(df: DataFrame, keys: Sequence[str], side: str, why: str) -> None:
     if not repeated_keys(df, keys).isEmpty():
         raise CardinalityError(f"keys {', '.join(keys)} repeat in the {side} (1:many)", why)

@@ -118,6 +118,8 @@ DATE_PARTS = {
 TEXT_PARTS = {
     "username": lambda c: F.get(F.split(c, "@"), F.lit(0)), "domain": lambda c: F.get(F.split(c, "@"), F.lit(1)),
     "scheme": lambda c: F.try_parse_url(c, F.lit("PROTOCOL")), "host": lambda c: F.try_parse_url(c, F.lit("HOST")), "path": lambda c: F.try_parse_url(c, F.lit("PATH")), "query": lambda c: F.try_parse_url(c, F.lit("QUERY")),
+    "fragment": lambda c: F.try_parse_url(c, F.lit("REF")), "port": lambda c: F.nullif(F.regexp_extract(c, r"^[a-zA-Z][\w+.-]*://[^/?#]*:(\d+)(?:[/?#]|$)", 1), F.lit("")).cast("int"),
+    "country_code": lambda c: F.nullif(F.regexp_extract(c, r"^\s*\+(\d{1,3})[-. (]", 1), F.lit("")), "extension": lambda c: F.nullif(F.regexp_extract(c, r"(?:x|ext\.?)\s*(\d+)\s*$", 1), F.lit("")),
     "digits": lambda c: F.regexp_replace(c, r"\D", ""), "area_code": lambda c: F.nullif(F.regexp_extract(c, r"(?:\+?1[-. ]?)?\(?(\d{3})\)?[-. ]?\d{3}[-. ]?\d{4}", 1), F.lit("")),
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomframe.errors import LoomError, need_columns
 from loomframe.functions.registry import Reconciliation
+from loomframe.operators.aggregate import repeated_keys
 from loomframe.operators.columns import quoted
 
 STATUSES = ("new", "deleted", "changed", "no_change", "duplicate")
@@ -21,7 +23,8 @@ ARROW, HIERARCHY = " → ", " (hierarchy)"
 class Options:
     """output: summary or detail. exclude: columns left out of comparison and result; carry: shown, not compared; context:
     columns of the new side beside each change of the detail. aliases: column to its other names; groups: parent value to
-    its parts."""
+    its parts; values: column to a table of values and their other spellings, which count as the same. ordered: the summary
+    in order of status."""
 
     output: str = "summary"
     exclude: tuple = ()
@@ -29,16 +32,18 @@ class Options:
     context: tuple = ()
     aliases: Mapping = field(default_factory=dict)
     groups: Mapping = field(default_factory=dict)
+    values: Mapping = field(default_factory=dict)
+    ordered: bool = False
 
     @staticmethod
     def of(strategy: Mapping | None, rules: Reconciliation | None = None) -> Options:
         given = dict(strategy or {})
-        names = {"output", "exclude", "carry", "context", "aliases", "groups"}
+        names = {"output", "exclude", "carry", "context", "aliases", "groups", "values", "ordered"}
         need_columns(sorted(names), list(given), "option")
         listed = lambda v: (v,) if isinstance(v, str) else tuple(v or ())
         out = Options(
             given.get("output", "summary"), listed(given.get("exclude")), listed(given.get("carry")), listed(given.get("context")),
-            given.get("aliases") or (rules.aliases if rules else {}), given.get("groups") or (rules.groups if rules else {}),
+            given.get("aliases") or (rules.aliases if rules else {}), given.get("groups") or (rules.groups if rules else {}), given.get("values") or {}, bool(given.get("ordered")),
         )
         if out.output not in ("summary", "detail"):
             raise LoomError(f"no output '{out.output}'", "There are: summary, detail")
@@ -56,23 +61,33 @@ def renamed(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
     return df.withColumnsRenamed({c: canonical[c.lower()] for c in df.columns if c.lower() in canonical and canonical[c.lower()] not in df.columns})
 
 
+def respelled(df: DataFrame, values: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
+    """Other spellings of values, in any case, replaced by the canonical one."""
+    for c, table in values.items():
+        need_columns(df.columns, [c])
+        known = F.create_map(*[F.lit(x) for name, others in table.items() for other in dict.fromkeys(o.lower() for o in (name, *others)) for x in (other, name)])
+        df = df.withColumn(c, F.coalesce(F.try_element_at(known, F.lower(quoted(c).cast("string"))), quoted(c).cast("string")))
+    return df
+
+
 def find_key(old: DataFrame, new: DataFrame) -> list[str]:
-    """The first common column that is unique on both sides, else the first such pair; one aggregation per side for the
-    single columns, and one for the pairs."""
+    """The first common column that is unique on both sides, else the first such pair. Sketches of how many values columns
+    and pairs have, in one aggregation per side, leave out what can't be; what is left is tried in turn."""
     common = [c for c in old.columns if c in new.columns]
 
-    def unique(df: DataFrame, keys: list[tuple[str, ...]]) -> list[bool]:
-        if not keys:
-            return []
+    def unique(df: DataFrame, key: tuple[str, ...]) -> bool:
+        has_null = reduce(Column.__or__, [quoted(c).isNull() for c in key])
+        return df.where(has_null).isEmpty() and repeated_keys(df, key).isEmpty()
+
+    def possible(df: DataFrame, keys: list[tuple[str, ...]]) -> list[bool]:
         n = F.count(F.lit(1))
-        different = [F.countDistinct(F.struct(*map(quoted, k))) for k in keys]
-        present = [F.count_if(F.greatest(*[quoted(c).isNull() for c in k]) if len(k) > 1 else quoted(k[0]).isNull()) for k in keys]
-        return list(df.agg(*[((d == n) & (p == 0)).alias(f"u{i}") for i, (d, p) in enumerate(zip(different, present, strict=True))]).first())
+        values = [F.approx_count_distinct(F.xxhash64(*map(quoted, k))) for k in keys]
+        return list(df.agg(*[(v >= 0.75 * n).alias(f"u{i}") for i, v in enumerate(values)]).first()) if keys else []
 
     for keys in ([(c,) for c in common], list(combinations(common, 2))):
-        for k, a, b in zip(keys, unique(old, keys), unique(new, keys), strict=True):
-            if a and b:
-                return list(k)
+        for key, a, b in zip(keys, possible(old, keys), possible(new, keys), strict=True):
+            if a and b and unique(old, key) and unique(new, key):
+                return list(key)
     raise LoomError("no column, and no pair of columns, is unique on both sides", "Name a key")
 
 
@@ -86,10 +101,16 @@ def parse_key(key: str | Sequence[str] | None) -> list[str] | None:
 
 
 def _set_apart(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Different rows whose key no other different row has, and all rows of the keys that several have."""
-    distinct = df.distinct()
-    bad = distinct.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    return distinct.join(bad, keys, "left_anti"), df.join(bad, keys, "left_semi")
+    """Different rows whose key no other different row has, and all rows of the keys that several have: one grouping by key,
+    where the least and the greatest row of a key are the same or not. Null keys are no keys: their different rows stand
+    apart."""
+    rest = [c for c in df.columns if c not in keys]
+    null = reduce(Column.__or__, [quoted(k).isNull() for k in keys])
+    row = F.struct(*map(quoted, rest)) if rest else F.lit(0)
+    by = df.where(~null).groupBy(*map(quoted, keys)).agg(F.min(row).alias("__least"), F.max(row).alias("__most"))
+    single = F.col("__least").eqNullSafe(F.col("__most"))
+    alone = by.where(single).select(*map(quoted, keys), *[F.col("__least")[c].alias(c) for c in rest]).select(*map(quoted, df.columns))
+    return alone.unionByName(df.where(null).distinct()), df.join(by.where(~single).select(*map(quoted, keys)), keys, "left_semi")
 
 
 def _kin(a: Column, b: Column, groups: Mapping[str, Sequence[str]]) -> Column:
@@ -108,11 +129,11 @@ def diff(old: DataFrame, new: DataFrame, key: str | Sequence[str] | None = None,
     Detail: _key, _column, _old_value, _new_value and context for each changed cell.
 
     Equal rows collapse; all rows of a key that different rows share are 'duplicate', and leave the comparison on their
-    side. Two nulls are equal. Null keys never match. Columns of one side only are shown, not compared. Sides are shuffled
-    by key once for duplicates and once for the comparison.
+    side. Two nulls are equal. Null keys never match. Columns of one side only are shown, not compared. One grouping by key
+    finds what repeats, and the comparison joins its results.
     """
     options = Options.of(strategy, rules)
-    old, new = renamed(old, options.aliases), renamed(new, options.aliases)
+    old, new = (respelled(renamed(df, options.aliases), options.values) for df in (old, new))
     old, new = old.drop(*options.exclude), new.drop(*options.exclude)
     keys = parse_key(key) or find_key(old, new)
     need_columns(old.columns, keys, "key")

@@ -33,7 +33,10 @@ def lookup(target: DataFrame, reference: DataFrame | Sequence[DataFrame], bring,
     bring: names, or pairs (name, new name). against: one key or several, named alike on both sides; null keys never
     match. join_type 'lookup' keeps each row of the target once: a reference whose keys repeat is aggregated by key first,
     each column by its strategy ('auto' by default: one value, or an error when run). If the keys repeat on both sides, a
-    strategy must be given. left, inner, outer and right are plain joins, for unique keys on both sides only.
+    strategy must be given. left, inner, outer and right are plain joins, for unique keys on both sides only; cross pairs
+    every row with every row, without keys.
+
+    With a strategy nothing runs beforehand: the reference is grouped by key in any case, and the join reuses its partitions.
     """
     ref = stacked(reference)
     keys = [against] if isinstance(against, str) else list(against)
@@ -45,6 +48,8 @@ def lookup(target: DataFrame, reference: DataFrame | Sequence[DataFrame], bring,
     for _, new in pairs:
         if new in target.columns:
             raise LoomError(f"the target has a column '{new}'", "Bring it under another name: (name, new name)")
+    if join_type == "cross":
+        return place(target.crossJoin(ref.select(*[quoted(s).alias(d) for s, d in pairs])), [d for _, d in pairs], position)
     select = [*map(quoted, keys), *[quoted(s).alias(d) for s, d in pairs]]
     if join_type in JOINS:
         why = "Use join_type='lookup' with a strategy"
@@ -52,8 +57,8 @@ def lookup(target: DataFrame, reference: DataFrame | Sequence[DataFrame], bring,
         need_unique(target, keys, "target", why)
         return place(target.join(ref.select(*select), keys, JOINS[join_type]), [d for _, d in pairs], position)
     if join_type != "lookup":
-        raise LoomError(f"no join '{join_type}'", f"There are: lookup, {', '.join(JOINS)}")
-    if repeated_keys(ref, keys).isEmpty():
+        raise LoomError(f"no join '{join_type}'", f"There are: lookup, cross, {', '.join(JOINS)}")
+    if not strategy and repeated_keys(ref, keys).isEmpty():
         found = ref.select(*select)
     else:
         if not strategy and not repeated_keys(target, keys).isEmpty():
