@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.config import Config, load
 from loomframe.errors import LoomError, need_columns
 from loomframe.functions.registry import Registry
 from loomframe.operators import aggregate as agg
@@ -29,6 +30,20 @@ _log = _logging.getLogger("loomframe")
 formulas = Registry()
 
 
+_config = Config()
+
+
+def configure(folder: str | None = None, home: str | None = None) -> Config:
+    """Read the settings (config.toml of a folder, of the home folder, defaults) and use them from now on: the seed of
+    synthetic(), the type of results where as_type isn't given, the log level, and the folder of formulas."""
+    global _config
+    _config = load(folder, home)
+    _log.setLevel({"error": "ERROR", "warn": "WARNING", "info": "INFO", "debug": "DEBUG"}[_config.log_level])
+    if _config.formula_folder:
+        formulas.set_folder(_config.formula_folder)
+    return _config
+
+
 def _list(x) -> list:
     return [] if x is None else [x] if isinstance(x, str) else list(x)
 
@@ -47,7 +62,7 @@ def _frame(x) -> DataFrame:
 def _done(verb: str, began: float, logging: bool, result, kind: str | None = None):
     if logging:
         _log.info("%s: planned in %.1f ms", verb, 1000 * (time.perf_counter() - began))
-    return converted(result, kind) if isinstance(result, DataFrame) else result
+    return converted(result, kind or _config.as_type) if isinstance(result, DataFrame) else result
 
 
 def to(bring_to, bring_from, bring, against, position=None, *, strategy=None, join_type="lookup", order_by=None, logging=False, lineage=False, as_type=None):
@@ -196,11 +211,12 @@ _MODES: dict[str, Callable[[DataFrame, Mapping], DataFrame]] = {
 }
 
 
-def synthetic(df_or_mode, n: int | None = None, *, strategy=None, seed: int = 42, logging=False, as_type=None):
+def synthetic(df_or_mode, n: int | None = None, *, strategy=None, seed: int | None = None, logging=False, as_type=None):
     """'@new': a frame of n rows by strategy; a frame: that frame and n rows like it."""
     began = time.perf_counter()
     if n is None:
         raise LoomError("how many rows?", "n=...")
+    seed = _config.seed if seed is None else seed
     if isinstance(df_or_mode, str):
         if df_or_mode != "@new":
             raise LoomError(f"no mode '{df_or_mode}'", "There is: @new")
@@ -221,15 +237,22 @@ def scan(mode, df=None, *, old=None, new=None, key=None, columns=None, where=Non
         for name in ("groups", "aliases"):
             if isinstance(given.get(name), str):
                 rules = formulas.reconciliation(given.pop(name))
-        return _done(mode, began, logging, differences.diff(_frame(old), _frame(new), key, given, rules), as_type)
+        result = differences.diff(_frame(old), _frame(new), key, given, rules)
+        return _done(mode, began, logging, differences.ordered(result) if given.get("ordered") else result, as_type)
     if mode == "@lineage":
         traced = lineage.need_traced(df)
         if trace is not None:
-            return _done(mode, began, logging, traced.trace(_list(trace) if not isinstance(trace, int) else [trace]), as_type)
+            column, ids = (trace[0], [trace[1]]) if isinstance(trace, (list, tuple)) and len(trace) == 2 and isinstance(trace[0], str) else (None, [trace] if isinstance(trace, int) else _list(trace))
+            found = traced.trace(ids)
+            if column:  # a cell: the input columns that it goes back to
+                found = found.select(lineage.ROW_ID, *[c for c in traced.dependencies(column) if c in found.columns])
+            return _done(mode, began, logging, found, as_type)
         if focus == "excluded":
             return _done(mode, began, logging, traced.excluded(), as_type)
         if focus == "source":
             return {c: s.kind for c, s in traced.sources.items()}
+        if focus == "nulls":
+            return _done(mode, began, logging, profile.nulls(traced.plain), as_type)
         return traced.report()
     if mode == "@set":
         return formulas.set_folder(folder or df) if (folder or df) not in (None, "show") else str(formulas.folder or "")
@@ -237,8 +260,11 @@ def scan(mode, df=None, *, old=None, new=None, key=None, columns=None, where=Non
 
 
 def analyze(df, *, columns: Sequence[str] | str | None = None, where=None, rows=None, order_by=None, focus=None, as_type=None, logging=False):
-    """A profile, or with focus one of: outliers, correlations, distributions, nulls. as_type: also dict or text."""
+    """A profile, or with focus one of: outliers, correlations, distributions, nulls, and excluded (of a traced frame: the
+    input rows that it has lost). as_type: also dict or text."""
     began = time.perf_counter()
+    if focus == "excluded":
+        return _done("@analyze", began, logging, lineage.need_traced(df).excluded(), as_type)
     frame = cols.filter_rows(_frame(df), where, _list(columns) or None)
     if rows:
         if not order_by:
