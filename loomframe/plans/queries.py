@@ -269,11 +269,12 @@ def lookup_key_report(t):
     return lf.key_report(t("orders"), t("customer").where("c_nationkey < 20").withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
 def join_anti(t):
     from loomframe.operators.lookup import matched
 
-    return matched(t("customer").select(F.col("c_custkey").alias("o_custkey")), t("orders"), ["o_custkey"], False).withColumnRenamed("o_custkey", "c_custkey")
+    some = t("customer").where("c_nationkey < 20").withColumnRenamed("c_custkey", "o_custkey")
+    return matched(t("orders").select("o_orderkey", "o_custkey"), some, ["o_custkey"], False)
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -490,10 +491,52 @@ def knn_impute(t):
     return _round(lf.transform("@deduce", gaps, infer="b", method="knn", order_by="s_suppkey").select("s_suppkey", "b_infer"), 6)
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS label, lower(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT doc_id, label, list_filter(regexp_split_to_array(t, '[\\x09-\\x0D !-/:-@\\[-`{{-~]+'), lambda x: x <> '' AND x NOT IN ({", ".join(repr(x) for x in impute.STOP_WORDS)})) AS w FROM d),
+terms AS (SELECT doc_id, label, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+top AS (SELECT term, count(DISTINCT doc_id) AS df FROM terms WHERE label IS NOT NULL GROUP BY 1 ORDER BY df DESC, term LIMIT 1000),
+v AS (SELECT doc_id, term, count(*) * ln((SELECT count(*) FROM d WHERE label IS NOT NULL) / any_value(df)) AS x FROM terms JOIN top USING (term) GROUP BY 1, 2),
+norm AS (SELECT doc_id, sqrt(sum(x * x)) AS z FROM v GROUP BY 1),
+u AS (SELECT v.doc_id, label, term, x / z AS x FROM v JOIN norm USING (doc_id) JOIN d USING (doc_id) WHERE z > 0),
+s AS (SELECT a.doc_id, b.doc_id AS other, any_value(b.label) AS label, round(sum(a.x * b.x), 12) AS s FROM u a JOIN u b ON a.term = b.term WHERE a.label IS NULL AND b.label IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT doc_id, arg_max(label, row(s, other)) AS guess FROM s WHERE s > 0 GROUP BY 1)
+SELECT doc_id, coalesce(d.label, guess, (SELECT arg_max(label, doc_id) FROM d WHERE label IS NOT NULL)) AS label_infer FROM d LEFT JOIN g USING (doc_id)""")
 def tfidf_deduce(t):
-    known = F.when(F.col("doc_id") % 5 != 0, F.col("lang"))
-    return impute.tfidf(t("benchmark").select(F.col("item_id").alias("doc_id"), "text").withColumn("lang", F.concat(F.lit("class"), F.col("doc_id") % 4)).withColumn("label", known), "label", ["text"], "label_infer", order_by="doc_id").select("doc_id", "label_infer")
+    docs = t("documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("label"))
+    return impute.tfidf(docs, "label", ["text"], "label_infer", order_by="doc_id").select("doc_id", "label_infer")
+
+
+for _metric, _weights, _sql, _value in (
+    ("manhattan", "uniform", "abs(x.s_nationkey - y.s_nationkey) + abs(x.s_suppkey % 10 - y.s_suppkey % 10)", "avg(b)"),
+    ("euclidean", "distance", "sqrt(power(x.s_nationkey - y.s_nationkey, 2) + power(x.s_suppkey % 10 - y.s_suppkey % 10, 2))", "sum(b / (d + 1e-10)) / sum(CASE WHEN b IS NOT NULL THEN 1 / (d + 1e-10) END)"),
+):
+
+    def _one(t, metric=_metric, weights=_weights):
+        gaps = t("supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 10).alias("digit"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("b"))
+        return _round(lf.transform("@deduce", gaps, infer="b", method="knn", against=["s_nationkey", "digit"], order_by="s_suppkey", strategy={"k": 4, "weights": weights, "metric": metric}).select("s_suppkey", "b_infer"))
+
+    _one.__name__ = f"knn_{_metric}_{_weights}"
+    query(f"""WITH d AS (SELECT x.s_suppkey, y.b, y.s_suppkey AS o, {_sql} AS d FROM {_SUPPLIERS} x JOIN {_SUPPLIERS} y ON x.s_suppkey <> y.s_suppkey WHERE x.b IS NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, o) AS r FROM d), g AS (SELECT s_suppkey, {_value} AS g FROM r WHERE r <= 4 GROUP BY 1)
+SELECT x.s_suppkey, round(coalesce(x.b, g.g), 4) AS b_infer FROM {_SUPPLIERS} x LEFT JOIN g USING (s_suppkey)""")(_one)
+
+
+@query(f"""WITH d AS (SELECT x.s_suppkey, y.b, row_number() OVER (PARTITION BY x.s_suppkey ORDER BY y.s_suppkey) AS r FROM {_SUPPLIERS} x JOIN {_SUPPLIERS} y ON x.s_suppkey <> y.s_suppkey WHERE x.b IS NULL),
+g AS (SELECT s_suppkey, avg(b) AS g FROM d WHERE r <= 5 GROUP BY 1) SELECT x.s_suppkey, round(coalesce(x.b, g.g), 4) AS b FROM {_SUPPLIERS} x LEFT JOIN g USING (s_suppkey)""")
+def knn_in_place(t):
+    gaps = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("b"))
+    return _round(lf.transform("@knn", gaps, "b", order_by="s_suppkey"))
+
+
+@query(f"SELECT event_id, first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v_infer FROM {_GAPS}")
+def impute_bfill_groups(t):
+    return lf.transform("@deduce", _gaps(t), infer="v", method="backward", order_by="event_id", by="user_id").select("event_id", "v_infer")
+
+
+@query(f"WITH n AS (SELECT e, count(*) AS n FROM {_GAPS} WHERE e IS NOT NULL GROUP BY 1) SELECT event_id, round(coalesce(v, (SELECT avg(v) FROM {_GAPS})), 6) AS v_infer, coalesce(e, (SELECT arg_min(e, row(-n, e)) FROM n)) AS e_infer FROM {_GAPS}")
+def impute_auto(t):
+    return _round(lf.transform("@deduce", _gaps(t), infer=["v", "e"]).select("event_id", "v_infer", "e_infer"), 6)
 
 
 # ---- profiles
@@ -607,20 +650,36 @@ def synth_ranges(t):
     )
 
 
-@query("SELECT count(*) + 500 AS rows, true AS in_set, true AS near FROM customer")
+@query("SELECT count(*) + 500 AS rows, count(DISTINCT c_mktsegment) AS segments, 0::BIGINT AS unknown_names, true AS near, true AS many_names FROM customer")
 def synth_augment(t):
     c = t("customer")
-    more = lf.synthetic(c, 500)
-    names = c.select(F.col("c_mktsegment").alias("known")).distinct()
-    real = c.agg(F.avg("c_acctbal").alias("m"), F.stddev_pop("c_acctbal").alias("s"))
-    seen = more.join(F.broadcast(names.limit(1000)), F.col("c_mktsegment") == F.col("known"), "left").crossJoin(F.broadcast(real))
-    return seen.agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("known").isNotNull()).alias("in_set"), (F.abs(F.avg("c_acctbal") - F.max("m")) < F.max("s") / 5).alias("near"))
+    more, known = lf.synthetic(c, 500), c.select(F.col("c_name").alias("known"))
+    real = c.agg(F.avg("c_acctbal").alias("m"), F.stddev_pop("c_acctbal").alias("s"), F.max("c_custkey").alias("last"))
+    seen = more.join(known, F.col("c_name") == F.col("known"), "left").crossJoin(F.broadcast(real))
+    return seen.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("c_mktsegment").alias("segments"), F.count_if(F.col("known").isNull()).alias("unknown_names"),
+        (F.abs(F.avg("c_acctbal") - F.max("m")) < F.max("s") / 5).alias("near"), (F.countDistinct("c_name") == F.count_if(F.col("c_name").isNotNull()) - 500).alias("many_names"),
+    )
 
 
-@query("SELECT c_mktsegment, round(sum(c_acctbal), 2) AS c_acctbal, array_to_string(array_agg(n ORDER BY n)[:1000], ',') AS _row_ids FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer) WHERE c_acctbal > 5000 GROUP BY 1")
+@query("""WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer)
+SELECT c_mktsegment, round(sum(c_acctbal) OVER (PARTITION BY c_mktsegment), 2) AS c_acctbal, n AS _row_id FROM c WHERE c_acctbal > 5000""")
 def lineage_rows(t):
     traced = lineage.Traced.start(t("customer"), "c_custkey").filter("c_acctbal > 5000").aggregate("c_mktsegment", {"c_acctbal": "sum"})
-    return _round(traced.df.withColumn("_row_ids", F.array_join(F.col("_row_ids").cast("array<string>"), ",")), 2)
+    return _round(traced.row_map(), 2)
+
+
+@query("""WITH g AS (SELECT c_nationkey, sum(c_acctbal) AS s FROM customer WHERE c_acctbal > 0 GROUP BY 1), r AS (SELECT c_nationkey % 5 AS r, sum(s) AS s FROM g WHERE s > 10000 GROUP BY 1)
+SELECT c_custkey FROM customer WHERE NOT (c_acctbal > 0 AND c_nationkey IN (SELECT c_nationkey FROM g WHERE s > 10000) AND c_nationkey % 5 IN (SELECT r FROM r WHERE r <> 2))""")
+def lineage_excluded_groups(t):
+    traced = lineage.Traced.start(t("customer"), "c_custkey").filter("c_acctbal > 0").aggregate("c_nationkey", {"s": ("c_acctbal", "sum")}).filter("s > 10000")
+    traced = traced.calc({"r": "c_nationkey % 5"}).aggregate("r", {"s": "sum"}).filter("r != 2")
+    return lf.analyze(traced, focus="excluded").select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS _row_id FROM orders")
+def lineage_start_text(t):
+    return lineage.Traced.start(t("orders"), ["o_orderpriority", "o_orderkey"]).df.select("o_orderkey", "o_custkey", "_row_id")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT c_acctbal > 5000")
@@ -631,3 +690,134 @@ def lineage_excluded(t):
 @query("""WITH x AS (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS n, c_nationkey FROM customer) WHERE c_nationkey > 5) SELECT min(n) AS first, max(n) AS last FROM x GROUP BY g""")
 def lineage_ranges(t):
     return lineage.ranges(lineage.Traced.start(t("customer"), "c_custkey").filter("c_nationkey > 5").df)
+
+
+# ---- more modes
+
+
+@query("SELECT s_suppkey, n_name AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def lookup_strict(t):
+    return lf.to(t("supplier"), t("nation").withColumnRenamed("n_nationkey", "s_nationkey"), [("n_name", "nation")], "s_nationkey", strategy={"n_name": "strict"}).select("s_suppkey", "nation")
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_nationkey DESC) AS names FROM nation GROUP BY 1")
+def agg_list(t):
+    df = lf.transform("@aggregate", t("nation").withColumn("o", -F.col("n_nationkey")), by="n_regionkey", strategy={"names": ("n_name", "list")}, order_by="o")
+    return df.withColumn("names", F.array_join("names", ";"))
+
+
+@query("SELECT s_nationkey AS k, 'nation ' || s_nationkey AS kind, 'x' AS trimmed FROM supplier GROUP BY 1")
+def agg_match(t):
+    text = F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))
+    df = t("supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.upper(text)).otherwise(text).alias("kind"), F.when(F.col("s_suppkey") % 3 == 0, " x ").otherwise("x").alias("y"))
+    return lf.transform("@aggregate", df, by="k", strategy={"kind": ("kind", "auto:anycase"), "trimmed": ("y", "auto:trim")})
+
+
+@query("SELECT n_name, r_name FROM nation, region WHERE n_nationkey < 5")
+def join_cross(t):
+    return lf.to(t("nation").where("n_nationkey < 5").select("n_name"), t("region"), "r_name", [], join_type="cross")
+
+
+@query("SELECT c_custkey, c_name AS name FROM customer")
+def to_new(t):
+    return lf.to("@new", t("customer"), [("c_name", "name")], "c_custkey")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT o_custkey) AS keys, (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey HAVING count(*) > 1)) AS repeated_keys, (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1))::BIGINT AS repeated_rows, round((SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1)) * 100.0 / count(*), 4)::DOUBLE AS percent, (SELECT string_agg(k || ' (' || n || ')', '; ' ORDER BY n DESC, k) FROM (SELECT o_custkey::VARCHAR AS k, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1 ORDER BY n DESC, k LIMIT 5)) AS examples FROM orders")
+def lookup_repeats(t):
+    from loomframe.operators.aggregate import repeats
+
+    return _round(repeats(t("orders"), ["o_custkey"]).withColumn("examples", F.array_join("examples", "; ")))
+
+
+@query("SELECT n_name, n_nationkey, length(n_name) AS n, n_regionkey FROM nation")
+def position_calc(t):
+    return lf.transform("@calc", t("nation").select("n_name", "n_nationkey", "n_regionkey"), expression="length(n_name)", name="n", position="after:n_nationkey")
+
+
+@query("SELECT n_nationkey, (n_regionkey = 1)::INTEGER AS \"1\", (n_regionkey = 2)::INTEGER AS \"2\", (n_regionkey = 3)::INTEGER AS \"3\", (n_regionkey = 4)::INTEGER AS \"4\" FROM nation")
+def onehot_numbers(t):
+    return lf.transform("@onehotencode", t("nation"), "n_regionkey", strategy={"prefix": False, "drop_first": True}).select("n_nationkey", *map(cols.quoted, "1234"))
+
+
+@query("SELECT o_orderkey, hour(o_orderdate)::INTEGER AS d_hour, month(o_orderdate)::INTEGER AS d_month FROM orders")
+def extract_text_time(t):
+    return lf.transform("@datetime", t("orders").withColumn("d", F.col("o_orderdate").cast("string")), "d").select("o_orderkey", "d_hour", "d_month")
+
+
+@query("SELECT c_custkey, 44 + c_nationkey % 3 AS c, 8000 + c_nationkey AS p, 'part' || c_nationkey AS f FROM customer")
+def extract_phone_url(t):
+    url = F.concat(F.lit("https://h.example:"), (F.col("c_nationkey") + 8000).cast("string"), F.lit("/a?b=c#part"), F.col("c_nationkey").cast("string"))
+    df = t("customer").select("c_custkey", F.concat(F.lit("+"), (F.col("c_nationkey") % 3 + 44).cast("string"), F.lit("-555-123-4567")).alias("phone"), url.alias("url"))
+    df = lf.transform("@extract", lf.transform("@extract", df, "phone", strategy=["country_code"]), "url", strategy=["port", "fragment"])
+    return df.select("c_custkey", F.col("phone_country_code").cast("int").alias("c"), F.col("url_port").alias("p"), F.col("url_fragment").alias("f"))
+
+
+@query("""WITH o AS (SELECT c_custkey % 10 AS a, c_custkey // 10 AS b, c_nationkey AS q FROM customer), n AS (SELECT a, b, CASE WHEN a % 4 = 0 THEN q + 1 ELSE q END AS q FROM o WHERE a % 9 <> 0)
+SELECT o.a::VARCHAR AS a, o.b::VARCHAR AS b, CASE WHEN n.a IS NULL OR o.q = n.q THEN o.q::VARCHAR ELSE o.q || ' → ' || n.q END AS q, CASE WHEN n.a IS NULL THEN 'deleted' WHEN o.q = n.q THEN 'no_change' ELSE 'changed' END AS _diff_status FROM o LEFT JOIN n ON o.a = n.a AND o.b = n.b""")
+def diff_key_pair(t):
+    old = t("customer").select((F.col("c_custkey") % 10).alias("a"), F.expr("c_custkey div 10").alias("b"), F.col("c_nationkey").alias("q"))
+    new = old.where("a % 9 <> 0").withColumn("q", F.when(F.col("a") % 4 == 0, F.col("q") + 1).otherwise(F.col("q")))
+    return lf.scan("@diff", old=old, new=new, strategy={"ordered": True})
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, CASE WHEN n_nationkey = 3 THEN 'Nord → Sud' WHEN n_nationkey % 2 = 0 THEN 'Nord' ELSE n_name END AS land, CASE WHEN n_nationkey = 3 THEN 'changed' ELSE 'no_change' END AS _diff_status FROM nation")
+def diff_value_aliases(t):
+    name, k = F.col("n_name"), F.col("n_nationkey")
+    old = t("nation").select("n_nationkey", F.when((k % 2 == 0) | (k == 3), "north").otherwise(name).alias("land"))
+    new = t("nation").select("n_nationkey", F.when(k == 3, "Sud").when(k % 2 == 0, "NORD").otherwise(name).alias("land"))
+    return lf.scan("@diff", old=old, new=new, key="n_nationkey", strategy={"values": {"land": {"Nord": ["north", "n."]}}})
+
+
+@query("SELECT 3000::BIGINT AS rows, 3000::BIGINT AS emails, 3000::BIGINT AS uuids, 3000::BIGINT AS codes, 3000::BIGINT AS uk, 3000::BIGINT AS times, 3000::BIGINT AS pairs, 3000::BIGINT AS different_uuids, 3::BIGINT AS different_pairs, 3000::BIGINT AS names, 3000::BIGINT AS places")
+def synth_patterns(t):
+    spec = {
+        "e": {"pattern": "email", "domain": "test.com"}, "u": {"pattern": "uuid"}, "r": {"pattern": "regex", "regex": "[A-Z]{3}-[0-9]{4}"}, "p": {"pattern": "phone", "format": "UK"},
+        "t": {"type": "time", "start": "09:00:00", "end": "17:00:00"}, "l": {"type": "linked_list", "levels": [["a", "b", "c"], [1, 2, 3]]}, "n": "name", "c": {"pattern": "address"},
+    }
+    df = made.new(t("region").sparkSession, 3000, spec)
+    fits = lambda c, pattern, name: F.count_if(F.col(c).rlike(pattern)).alias(name)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), fits("e", r"^[a-z]{8}@test\.com$", "emails"), fits("u", r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$", "uuids"), fits("r", r"^[A-Z]{3}-[0-9]{4}$", "codes"),
+        fits("p", r"^\+44-\d{4}-\d{6}$", "uk"), fits("t", r"^(09|1[0-6]):[0-5]\d:[0-5]\d$|^17:00:00$", "times"), fits("l", r"^(a 1|b 2|c 3)$", "pairs"), F.countDistinct("u").alias("different_uuids"), F.countDistinct("l").alias("different_pairs"),
+        fits("n", r"^[A-Z][a-z]+ [A-Z][a-z]+$", "names"), fits("c", r"^\d{1,3} [A-Z][a-z]+ (Street|Road|Lane)$", "places"),
+    )
+
+
+#: Mean and variance of each, rounded to what 200,000 rows give surely.
+@query("SELECT 0.3 AS beta_mean, 0.019 AS beta_var, 1.1 AS lognormal_mean, 2.0 AS exponential_mean, 4.0 AS exponential_var, 700.0 AS binomial_mean, 210.0 AS binomial_var, 2000.0 AS poisson_mean")
+def synth_moments(t):
+    spec = {"b": "beta(3, 7)", "s": "beta(0.5, 0.5)", "l": "lognormal(0, 0.5)", "x": "exponential(0.5)", "n": {"distribution": "binomial", "n": 1000, "p": 0.7}, "p": "poisson(2000)"}
+    df = made.new(t("region").sparkSession, 200_000, spec, partitions=8)
+    return df.agg(
+        F.round(F.avg("b"), 2).alias("beta_mean"), F.round(F.var_samp("b"), 3).alias("beta_var"), F.round(F.avg("l"), 1).alias("lognormal_mean"), F.round(F.avg("x"), 1).alias("exponential_mean"), F.round(F.var_samp("x"), 0).alias("exponential_var"),
+        F.round(F.avg("n"), 0).alias("binomial_mean"), F.round(F.var_samp("n"), -1).alias("binomial_var"), F.round(F.avg("p"), 0).alias("poisson_mean"),
+    )
+
+
+# ---- all other named formulas, their inputs in order of appearance taken from x1 to x4
+
+_FORMULAS = {
+    "core": {"profit": "x1 - x2", "total_price": "x1 * x2", "discount_amount": "x1 * x2", "net_price": "x1 - x1 * x2", "bsa_mosteller": "0.007184 * power(x1, 0.725) * power(x2, 0.425)"},
+    "finance": {"roi": "(x1 - x2) / x2 * 100", "profit_margin": "(x1 - x2) / x1 * 100", "gross_profit": "x1 - x2", "net_profit": "x1 - x2", "break_even": "x1 / (x2 - x4)", "markup": "(x1 - x2) / x2 * 100", "simple_interest": "x1 * x2 * x3", "debt_to_equity": "x1 / x2", "current_ratio": "x1 / x2"},
+    "medical": {"heart_rate_max": "220 - x1", "heart_rate_reserve": "x1 - x2", "target_heart_rate_low": "(x1 - x2) * 0.5 + x2", "target_heart_rate_high": "(x1 - x2) * 0.85 + x2", "ideal_body_weight_male": "50 + 0.91 * (x1 - 152.4)", "ideal_body_weight_female": "45.5 + 0.91 * (x1 - 152.4)", "creatinine_clearance": "(140 - x1) * x2 / (72 * x3)", "pulse_pressure": "x1 - x2", "bsa_haycock": "0.024265 * power(x1, 0.3964) * power(x2, 0.5378)", "bmr_male": "10 * x1 + 6.25 * x2 - 5 * x3 + 5", "bmr_female": "10 * x1 + 6.25 * x2 - 5 * x3 - 161", "waist_to_hip_ratio": "x1 / x2"},
+    "physics": {"velocity": "x1 / x2", "acceleration": "(x1 - x2) / x3", "force": "x1 * x2", "kinetic_energy": "0.5 * x1 * x2 * x2", "potential_energy": "x1 * 9.81 * x2", "work": "x1 * x2", "momentum": "x1 * x2", "pressure": "x1 / x2", "density": "x1 / x2", "frequency": "1 / x1", "wavelength": "x1 / x2"},
+    "chemistry": {"molarity": "x1 / x2", "moles_from_mass": "x1 / x2", "mass_from_moles": "x1 * x2", "dilution_concentration": "x1 * x2 / x3", "percent_yield": "x1 / x2 * 100", "percent_composition": "x1 / x2 * 100", "ideal_gas_pressure": "x1 * 8.314 * x2 / x3", "ideal_gas_volume": "x1 * 8.314 * x2 / x3"},
+    "engineering": {"power_electrical": "x1 * x2", "resistance": "x1 / x2", "current": "x1 / x2", "efficiency_pct": "x1 / x2 * 100", "stress": "x1 / x2", "strain": "x1 / x2", "youngs_modulus": "x1 / x2", "flow_rate_volume": "x1 * x2", "reynolds_number": "x1 * x2 * x3 / x4", "capacitance": "x1 / x2"},
+    "statistics": {"z_score": "(x1 - x2) / x3", "coefficient_of_variation": "x1 / x2 * 100", "standard_error": "x1 / sqrt(x2)", "percent_error": "(x1 - x2) / x2 * 100", "relative_error_pct": "(x1 - x2) / x1 * 100", "slope": "x1 / x2", "intercept": "x1 - x2 * x3", "predicted_value": "x1 + x2 * x3", "residual": "x1 - x2", "r_squared": "x1 * x1"},
+}
+
+for _name, _own in _FORMULAS.items():
+
+    def _one(t, own=_own):
+        from loomframe.functions.formulas import identifiers
+
+        df = t("part").select("p_partkey", F.col("p_retailprice").alias("x1"), F.col("p_size").cast("double").alias("x2"), (F.col("p_partkey") % 7 + 1).cast("double").alias("x3"), F.lit(0.25).alias("x4"))
+        for name in own:
+            inputs = identifiers(lf.formulas.find(name).expression)
+            places = ("x1", "x2", "x4") if name == "break_even" else ("x1", "x2", "x3", "x4")
+            df = lf.formulas.apply(df, name, output=name, **dict(zip(inputs, places, strict=False)))
+        return _round(df.select("p_partkey", *own), 7)
+
+    _one.__name__ = f"formulas_{_name}"
+    query(f"SELECT p_partkey, {', '.join(f'round({e}, 7) AS {n}' for n, e in _own.items())} FROM (SELECT p_partkey, p_retailprice AS x1, p_size::DOUBLE AS x2, (p_partkey % 7 + 1)::DOUBLE AS x3, 0.25::DOUBLE AS x4 FROM part)")(_one)

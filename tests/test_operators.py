@@ -290,7 +290,7 @@ def test_synthetic(spark):
 def test_lineage_keeps_all_rows_of_large_groups(spark):
     df = spark.range(2500).select("id", (F.col("id") % 2).alias("g"))
     traced = lineage.Traced.start(df, "id").filter("id < 2400").aggregate("g", {"id": "sum"})
-    assert {r.g: r._row_ids for r in traced.df.collect()} == {g: list(range(g, 2400, 2)) for g in (0, 1)}
+    assert sorted((r.g, r._row_id) for r in traced.row_map().collect()) == sorted((i % 2, i) for i in range(2400))
     assert sorted(r.id for r in traced.excluded().collect()) == list(range(2400, 2500))
 
 
@@ -301,7 +301,7 @@ def test_lineage(spark):
     assert values(t.excluded(), "id") == [1] and t.dependencies("w") == ["w", "v"] and t.sources["n"].kind == "brought"
     assert "1 rows removed WARNING" in lf.scan("@lineage", t)
     a = t.aggregate("g", {"w": "sum"})
-    assert sorted(values(a.df, "g", "_row_ids")) == [("a", [1]), ("b", [2])]
+    assert sorted(values(a.row_map(), "g", "_row_id")) == [("a", 1), ("b", 2)]
     assert values(lf.scan("@lineage", a, trace=[2]), "id") == [3]
     assert lineage.cycles({"a": ["b"], "b": ["a"]}) == ["a", "b", "a"] and not lineage.cycles({"a": ["b"]})
     assert isinstance(lf.transform("@calc", df, expression="v", lineage=True), lf.Traced)
@@ -333,3 +333,53 @@ def test_streams(spark, tmp_path, target):
     assert sorted(values(spark.table("seen"), "id", "w", "n"), key=str) == [(2, 40.0, "y"), (3, 60.0, None)]
     with pytest.raises(LoomError):
         stateless.apply(stream, "sort", "id")
+
+
+def test_ranges_by_size(spark, monkeypatch):
+    """What goes along an order gives the same in one range and in many."""
+    import numpy as np
+    import pandas as pd
+
+    from loomframe.operators import impute
+
+    rng = np.random.default_rng(0)
+    v = pd.Series(np.where(rng.random(300) < 0.6, np.nan, rng.integers(0, 9, 300)))
+    keys = rng.permutation(300)
+    df = spark.createDataFrame([(int(k), None if np.isnan(v[k]) else float(v[k]), f"{k:03d}"[::-1]) for k in keys], "k int, v double, s string").repartition(3)
+    wanted = {"forward": v.ffill(), "backward": v.bfill(), "interpolate": v.interpolate(limit_area="inside")}
+    for rows in (10**6, 50, 4):
+        monkeypatch.setattr(impute, "RANGE_ROWS", rows)
+        for how, series in wanted.items():
+            got = {r.k: r.v_infer for r in impute.deduce(df, "v", how, order_by="k").collect()}
+            assert all((got[k] is None and np.isnan(series[k])) or got[k] == pytest.approx(series[k]) for k in range(300))
+        assert sorted((r.s, r.i) for r in impute.numbered(df, "s", "i").collect()) == [(s, i) for i, s in enumerate(sorted(f"{k:03d}"[::-1] for k in range(300)))]
+        assert all(r.s_code == r.i for r in lf.transform("@label", impute.numbered(df, ["s", "k"], "i"), "s").collect())
+
+
+def test_backward_fill_of_one_large_group_is_no_square(spark):
+    import time
+
+    df = spark.range(80_000).select("id", F.lit(1).alias("g"), F.when(F.col("id") % 50_000 == 49_999, F.col("id").cast("double")).alias("v"))
+    began = time.time()
+    out = lf.transform("@deduce", df, infer="v", method="backward", order_by="id", by="g")
+    assert out.where("v_infer IS NULL").count() == 30_000 and time.time() - began < 20
+
+
+def test_settings(spark, tmp_path):
+    from loomframe.plans import api
+
+    (tmp_path / "config.toml").write_text(f'seed = 7\nas_type = "pandas"\nlog_level = "warn"\nformula_folder = "{tmp_path}"\n')
+    (tmp_path / "own.add").write_text('[twice]\nexpression = "x * 2"\ndescription = "d"\ncategory = "c"\n\n')
+    (tmp_path / "rules.add").write_text('[reconciliation]\nname = "lab"\n\n[aliases]\nalt = ["sgot", "ALAT"]\n\n[groups]\nliver = ["alt", "ast"]\n')
+    before, folder = api._config, lf.formulas.folder
+    try:
+        assert lf.configure(str(tmp_path), str(tmp_path / "nowhere")).seed == 7
+        one = lf.synthetic("@new", 20, strategy={"a": "normal(0, 1)"})
+        assert type(one).__name__ == "DataFrame" and type(one).__module__.startswith("pandas")
+        assert one["a"].tolist() == lf.synthetic("@new", 20, strategy={"a": "normal(0, 1)"}, seed=7)["a"].tolist() != lf.synthetic("@new", 20, strategy={"a": "normal(0, 1)"}, seed=8)["a"].tolist()
+        assert lf.formulas.twice(frame(spark, "x int", (3,))).first().twice == 6
+        old, new = frame(spark, "id int, SGOT string", (1, "a"), (2, "liver")), frame(spark, "id int, Alat string", (1, "b"), (2, "ast"))
+        got = lf.scan("@diff", old=old, new=new, key="id", strategy={"aliases": "lab"})
+        assert sorted(got["alt"]) == ["a → b", "liver → ast (hierarchy)"]
+    finally:
+        api._config, lf.formulas.folder = before, folder

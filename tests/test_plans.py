@@ -40,8 +40,12 @@ def test_aggregates_are_partial_first(spark):
     assert "partial_sum" in plan(spark, "agg_sum")
 
 
-@pytest.mark.parametrize("name", ["impute_ffill", "impute_interpolate", "lineage_excluded"])
-def test_windows_over_rows_are_dealt(spark, name):
+@pytest.mark.parametrize("name", ["impute_ffill", "impute_bfill", "impute_interpolate", "lineage_excluded"])
+def test_windows_over_rows_are_dealt_and_run_one_way(spark, monkeypatch, name):
+    from loomframe.operators import impute
+
+    monkeypatch.setattr(impute, "RANGE_ROWS", 40)
     text = plan(spark, name)
     windows = re.findall(r"\(\d+\) Window.*?Arguments: (.*?)\n\n", text, re.DOTALL)
     assert any("__zone" in w for w in windows)
+    assert "unboundedfollowing" not in text.lower()
