@@ -251,7 +251,7 @@ _PUNCTUATION = r"[\s!-/:-@\[-`{-~]+"
 def terms(text: Column) -> Column:
     """Words and pairs of neighbouring words of a text, lower-cased, without stop words."""
     words = F.filter(F.split(F.lower(text), _PUNCTUATION), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.get(words, i - 1), F.lit(" "), F.get(words, i)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
     return F.concat(words, pairs)
 
 
