@@ -34,7 +34,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off], nodes[root[off]]
 
 
-def _contract(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _contract(batches: Iterator[pa.RecordBatch], most: int = 2 * 1_000_000) -> Iterator[pa.RecordBatch]:
     a = b = np.zeros(0, dtype=np.int64)
     for batch in batches:
         a, b = np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
@@ -48,13 +48,20 @@ def _contract(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterato
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+#: Links, two numbers each, that one task resolves.
+FEW = 1_000_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: columns a and b, longs. One row per linked node: node, component (the smallest node reachable).
 
-    Each partition first reduces its links to a forest. A round then takes two joins with partial minima; hot nodes are
-    left to the skew handling of joins. The rounds needed grow with the logarithm of the number of nodes.
+    Each partition first reduces its links to a forest. Where FEW links are left, one task resolves them. Else a round takes
+    two joins with partial minima; hot nodes are left to the skew handling of joins. The rounds needed grow with the
+    logarithm of the number of nodes.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_contract, "a long, b long").distinct(), "links")
+    if edges.count() <= FEW:
+        return edges.coalesce(1).mapInArrow(_contract, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component"))
     seen = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -1,26 +1,31 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 A fingerprint of 64 bits is cut into two segments: of two fingerprints that differ in two bits at most, one segment
-differs in one bit at most. Every segment is indexed under its 32 variants with one bit left out; fingerprints that meet
-under a variant are compared in full. Only distinct fingerprints take part, so groups of copies cost nothing.
+differs in one bit at most. Every segment is indexed under its variants with one bit left out; fingerprints that meet
+under a variant are compared in full. The 16 variants of a segment whose bit is left out in one half agree in the other
+half, so fingerprints are shuffled by halves, four rows each, and a task makes the variants and joins them. Only distinct
+fingerprints take part, so groups of copies cost nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import chunks, folded_words_of, materialize
 from loomframe.llm.components import components, forest
 
-SEGMENT, MOST_BITS = 32, 2
+HALF, MOST_BITS = 16, 2
 #: Distinct fingerprints under one variant from which pairs are found by leaving out two bits instead of by comparison.
-CROWD = 512
+CROWD = 4096
+#: Rows of the index in one task, and fingerprints with one half in common from which they are dealt by variant.
+INDEXED, HOT = 200_000, 1_000_000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -43,11 +48,16 @@ def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
         starts = [0, *ends[: -shingle].tolist()]
         values.extend([hashed(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)])
         sizes[i] = len(starts)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    octets = np.array(values, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    return majority(np.array(values, dtype=np.uint64), sizes)
+
+
+def majority(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For consecutive runs of `sizes` hashes, the bits that over half of them have."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    octets = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    out = np.zeros(len(sizes), dtype=np.uint64)
     for k in range(8):
-        ones = np.bincount(doc * 256 + octets[:, k], minlength=256 * len(texts)).reshape(len(texts), 256) @ _BITS
+        ones = np.bincount(doc * 256 + octets[:, k], minlength=256 * len(sizes)).reshape(len(sizes), 256) @ _BITS
         for j in range(8):
             out |= (2 * ones[:, j] > sizes).astype(np.uint64) << np.uint64(8 * k + j)
     return out
@@ -62,89 +72,106 @@ def _fingerprint(shingle: int):
     return run
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (variant, fp, rep) in order of variant: links (a, b), or members (rep, fp, variant) of a crowd."""
-    key, fp, rep = (np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64))
-    crowded = None
-
-    def out(a, b, c=None):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c) if c is not None else pa.nulls(len(a), pa.int64())], ["a", "b", "variant"])
-
-    def links(key, fp, rep):
-        a, b = [], []
-        gap = 1
-        at = np.flatnonzero(key[1:] == key[:-1])
-        while len(at):
-            x = fp[at] ^ fp[at + gap]
-            segment = key[at].astype(np.uint64) >> np.uint64(32 + 5)
-            slot = key[at].astype(np.uint64) >> np.uint64(32) & np.uint64(31)
-            low, high = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
-            # a pair meets under several variants; it counts under the first of them
-            in_low = np.bitwise_count(low) <= 1
-            own = np.where(in_low, low, high)
-            first = np.where(own == 0, np.uint64(0), np.bitwise_count(own - np.uint64(1) & ~own).astype(np.uint64))
-            good = (np.bitwise_count(x) <= MOST_BITS) & (segment == np.where(in_low, np.uint64(0), np.uint64(1))) & (slot == np.where(own == 0, np.uint64(0), first))
-            a.append(rep[at[good]])
-            b.append(rep[at[good] + gap])
-            gap += 1
-            at = at[at + gap < len(key)]
-            at = at[key[at] == key[at + gap]]
-        return forest(np.concatenate(a), np.concatenate(b)) if a else (rep[:0], rep[:0])
-
-    for batch in batches:
-        k, f, r = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-        if crowded is not None:
-            more = int(np.searchsorted(k, crowded, side="right"))
-            if more:
-                yield out(r[:more], f[:more].view(np.int64), k[:more])
-            k, f, r = k[more:], f[more:], r[more:]
-        if not len(k):
-            continue
-        crowded = None
-        key, fp, rep = np.concatenate([key, k]), np.concatenate([fp, f]), np.concatenate([rep, r])
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+def _two_left_out(fp: np.ndarray, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in fp that connect all fingerprints at up to two differing bits, all of which are among `free`: each pair of
+    bits in which any differ is left out in turn, and equal rests are linked."""
+    varies = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    free = [bit for bit in free if varies >> bit & 1]
+    for p, q in list(combinations(free, 2)) or [(bit, bit) for bit in free]:
+        rest = fp & np.uint64(0xFFFFFFFFFFFFFFFF ^ (1 << p | 1 << q))
+        order = np.argsort(rest, kind="stable")
+        same = np.flatnonzero(rest[order[1:]] == rest[order[:-1]])
+        yield order[same], order[same + 1]
+
+
+def _joined(half: np.ndarray, only: np.ndarray, fp: np.ndarray, rep: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints whose `half` (number and value) agrees: the other half of the segment may differ in one
+    bit, which is left out in turn, or in `only` where that isn't negative. Fingerprints with the same segment count as
+    differing in bit 0."""
+    number = half >> HALF
+    shift = (HALF * (number ^ 1)).astype(np.uint64)
+    rest = (fp >> shift & np.uint64(0xFFFF)).astype(np.int64)
+    a, b = [rep[:0]], [rep[:0]]
+
+    def shrink(most: int = 1_000_000) -> None:
+        if sum(map(len, a)) > most:
+            x, y = forest(np.concatenate(a), np.concatenate(b))
+            a[:], b[:] = [x], [y]
+
+    for slot in range(HALF):
+        at = np.flatnonzero((only < 0) | (only == slot))
+        key = half[at] << HALF | rest[at] & ~(1 << slot)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
         sizes = np.diff(np.append(starts, len(key)))
-        crowd = np.repeat(sizes > CROWD, sizes)
-        if crowd.any():
-            yield out(rep[crowd], fp[crowd].view(np.int64), key[crowd])
-            if crowd[-1]:
-                crowded = key[-1]
-        cut = len(key) if crowded is not None else starts[-1]
-        plain = ~crowd[:cut]
-        yield out(*links(key[:cut][plain], fp[:cut][plain], rep[:cut][plain]))
-        key, fp, rep = key[cut:], fp[cut:], rep[cut:]
-    if len(key):
-        yield out(*links(key, fp, rep))
-
-
-def _two_left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of a crowd share all bits but 33: every pair of these is left out in turn."""
-    for batch in batches:
-        for rep, fp, variant in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64).tolist(), batch.column(2).to_pylist(), strict=True):
-            segment, slot = variant >> 37, variant >> 32 & 31
-            free = [slot + SEGMENT * segment, *(j + SEGMENT * (1 - segment) for j in range(SEGMENT))]
-            pairs = [(p, q) for i, p in enumerate(free) for q in free[i + 1 :]]
-            masks = np.array([(1 << p) | (1 << q) for p, q in pairs], dtype=np.uint64)
-            n = len(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, variant)), pa.array(masks.view(np.int64)), pa.array((np.uint64(fp) & ~masks).view(np.int64)), pa.array(np.full(n, rep))], ["variant", "left_out", "rest", "rep"])
-
-
-def variants(reps: DataFrame) -> DataFrame:
-    """64 rows for each fingerprint: the number of segment and left-out bit above the segment without that bit."""
-    keys = []
-    for segment in (0, 1):
-        value = F.shiftrightunsigned("fp", SEGMENT * segment).bitwiseAND(F.lit(0xFFFFFFFF))
-        keys += [value.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).bitwiseOR(F.lit((segment * SEGMENT + i) << 32)) for i in range(SEGMENT)]
-    return reps.select(F.explode(F.array(*keys)).alias("variant"), "fp", "rep")
+        asked = sizes > 1
+        if slot and len(starts):  # somebody must differ in this bit
+            ones = np.add.reduceat(rest[at] >> slot & 1, starts)
+            asked &= (ones > 0) & (ones < sizes)
+        for i, n in zip(starts[asked & (sizes > crowd)].tolist(), sizes[asked & (sizes > crowd)].tolist(), strict=True):
+            own, segment = at[i : i + n], int(number[at[i]]) >> 1
+            free = [HALF * (int(number[own[0]]) ^ 1) + slot, *range(32 * (1 - segment), 32 * (2 - segment))]
+            for x, y in _two_left_out(fp[own], free):
+                a.append(rep[own[x]])
+                b.append(rep[own[y]])
+                shrink()
+        few = np.repeat(asked & (sizes <= crowd), sizes)
+        at, key = at[few], key[few]
+        gap, here = 1, np.flatnonzero(key[1:] == key[:-1])
+        while len(here):
+            x, y = at[here], at[here + gap]
+            near = np.bitwise_count(fp[x] ^ fp[y]) <= MOST_BITS
+            a.append(rep[x[near]])
+            b.append(rep[y[near]])
+            shrink()
+            gap += 1
+            here = here[here + gap < len(key)]
+            here = here[key[here] == key[here + gap]]
+    return forest(np.concatenate(a), np.concatenate(b))
+
+
+def _near(crowd: int):
+    """From (key, fp, rep) in order of key to links (a, b); whole keys are taken together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64) for _ in range(3)]
+
+        def out(key, fp, rep) -> pa.RecordBatch:
+            a, b = _joined(key >> 21, (key >> 16 & 31) - 1, fp.view(np.uint64), rep, crowd)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            if len(held[0]) > INDEXED:
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                if cut:
+                    yield out(*(x[:cut] for x in held))
+                    held = [x[cut:].copy() for x in held]
+        if len(held[0]):
+            yield out(*held)
+
+    return run
 
 
 def links_of(reps: DataFrame) -> DataFrame:
-    """Links a - b between representatives (fp, rep) that connect all fingerprints at up to two differing bits."""
-    found = materialize(variants(reps).repartition("variant").sortWithinPartitions("variant").mapInArrow(_near, "a long, b long, variant long"), "near")
-    plain = found.where("variant IS NULL").select("a", "b")
-    crowd = found.where("variant IS NOT NULL").mapInArrow(_two_left_out, "variant long, left_out long, rest long, rep long")
-    met = crowd.groupBy("variant", "left_out", "rest").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where("size(all) > 1")  # four at most
-    return plain.unionByName(met.select("a", F.explode("all").alias("b")))
+    """Links a - b between representatives (fp, rep) that connect all fingerprints at up to two differing bits.
+
+    Halves that over HOT fingerprints share are dealt by single variants; at most 4 / HOT of all fingerprints' number are
+    such halves, so that their list can be broadcast. What shares a variant is resolved in one task, in time that grows
+    in proportion to it."""
+    value = lambda i: F.shiftrightunsigned("fp", HALF * i).bitwiseAND(F.lit(0xFFFF))
+    halves = reps.select("fp", "rep", F.inline(F.array(*[F.struct(value(i).bitwiseOR(F.lit(i << HALF)).alias("half"), value(i ^ 1).alias("rest")) for i in range(4)])))
+    counted = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("n").alias("most")).first()
+    base = F.col("half") * F.lit(1 << 21)
+    if (rows.most or 0) > HOT:
+        variants = F.array(*[F.lit((slot + 1) << 16).bitwiseOR(F.col("rest").bitwiseAND(F.lit(0xFFFF ^ (1 << slot)))) for slot in range(HALF)])
+        hot = counted.where(F.col("n") > HOT).select("half", F.lit(True).alias("hot"))
+        halves = halves.join(F.broadcast(hot), "half", "left").select(F.explode(F.when(F.col("hot"), variants).otherwise(F.array(F.lit(0).cast("long")))).alias("variant"), "half", "fp", "rep")
+        base = base + F.col("variant")
+    dealt = halves.select(base.alias("key"), "fp", "rep").repartition(rows.n // INDEXED + 1, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_near(CROWD), "a long, b long")
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -159,13 +186,3 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     reps = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "reps")
     classes = reps.join(components(links_of(reps)), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return table.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, with all columns of docs; of repeated ids, and so of
-    repeated rows, one row stays. Rows with a null id stay: they can't be told apart from the group's others."""
-    kept = annotate(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    one = known.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
