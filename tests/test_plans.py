@@ -49,3 +49,18 @@ def test_windows_over_rows_are_dealt_and_run_one_way(spark, monkeypatch, name):
     windows = re.findall(r"\(\d+\) Window.*?Arguments: (.*?)\n\n", text, re.DOTALL)
     assert any("__zone" in w for w in windows)
     assert "unboundedfollowing" not in text.lower()
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent.parent
+    shutil.copytree(top / "loomframe", tmp_path / "loomframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path), "PYTHONPATH": str(tmp_path)})
+    queries, sql, pipeline = done.stdout.split()
+    assert int(queries) > 100 and queries == sql and pipeline == "False"
