@@ -383,3 +383,21 @@ def test_settings(spark, tmp_path):
         assert sorted(got["alt"]) == ["a → b", "liver → ast (hierarchy)"]
     finally:
         api._config, lf.formulas.folder = before, folder
+
+
+def test_command_line(spark, tmp_path):
+    from loomframe.__main__ import main
+
+    frame(spark, "id int, v double", (1, 2.0), (2, 3.0)).coalesce(1).write.csv(str(tmp_path / "a.csv"), header=True)
+    frame(spark, "id int, n string", (1, "x"), (2, "y")).write.parquet(str(tmp_path / "b.parquet"))
+    at = lambda name: str(tmp_path / name)
+    main(["transform", "@calc", at("a.csv"), "--out", at("c.json"), "--options", '{"expression": "v * 2", "name": "w"}'])
+    assert values(spark.read.json(at("c.json")), "id", "w") == [(1, 4.0), (2, 6.0)]
+    main(["to", at("a.csv"), at("b.parquet"), "--out", at("d"), "--options", '{"bring": "n", "against": "id"}'])
+    assert values(spark.read.parquet(at("d")), "id", "n") == [(1, "x"), (2, "y")]
+    main(["scan", "@diff", at("a.csv"), at("a.csv"), "--out", at("e.csv"), "--options", '{"key": "id"}'])
+    assert {r._diff_status for r in spark.read.csv(at("e.csv"), header=True).collect()} == {"no_change"}
+    main(["synthetic", "@new", "--out", at("f"), "--options", '{"n": 5, "strategy": {"a": "normal(0, 1)"}}'])
+    assert spark.read.parquet(at("f")).count() == 5
+    with pytest.raises(LoomError):
+        main(["scan", "@diff", at("a.csv")])
