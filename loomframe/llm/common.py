@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
-import ctypes
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.errors import LoomError
+
 #: Words are maximal runs of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all runs
+    on this machine (tests); on a cluster, whose executors would write to their own disks, an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise LoomError("spark.checkpoint.dir is unset", "Name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession):
+    """This application's own part of the shared folder, which goes when the application ends."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back. One pass, and the lineage ends there, so a lost
-    executor costs no more than the reading tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    executor costs no more than the reading tasks. The shuffles it took are deleted when it is written."""
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder = _folder(spark)
+    path, before = f"{folder.toString()}/{name}-{uuid.uuid4().hex}", spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1 and so on, so that none clashes with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that materialize() made and nothing reads any more."""
     spark = df.sparkSession
@@ -43,16 +65,12 @@ def drop_table(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs now: it does so when the driver's JVM collects garbage."""
-    spark.sparkContext._jvm.System.gc()
+    """Nothing is left to do: materialize() deletes the shuffles of what it writes."""
 
 
 def give_back() -> None:
-    """Return what a finished task has freed to the system: workers stay, and their allocators would keep it."""
+    """Return what a finished task has freed to the system."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
 
 
 def id_remainder(id_col: str | Column, modulus: int) -> Column:
@@ -74,8 +92,6 @@ def chunks(batch: pa.RecordBatch, text_at: int, most_bytes: int = 2_000_000):
     column = batch.column(text_at)
     sizes = np.zeros(batch.num_rows, dtype=np.int64)
     if batch.num_rows:
-        import pyarrow.compute as pc
-
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start, total = np.cumsum(sizes), 0, 0
     while start < batch.num_rows:
@@ -96,6 +112,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mixed_one(x: int) -> int:
+    """mixed() of a single number, without the cost of an array."""
+    x &= 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return x ^ x >> 31
+
+
 def uniforms(x: np.ndarray) -> np.ndarray:
     """Doubles in (0, 1) of mixed bits."""
     return ((mixed(x) >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / 9007199254740992.0)

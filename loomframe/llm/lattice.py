@@ -50,6 +50,8 @@ class Vocabulary:
         self.spaced = [p.replace(SPACE, " ") for p in pieces]
         self.is_byte = np.zeros(len(pieces), dtype=bool)
         self.is_byte[list(self.bytes_by_id)] = True
+        self.byte_value = np.zeros(len(pieces), dtype=np.uint8)
+        self.byte_value[list(self.bytes_by_id)] = list(self.bytes_by_id.values())
         self.piece_at = np.array(ids, dtype=np.int32)
         self.first = np.full(0x110000, -1, dtype=np.int32)
         for c, node in children[0].items():
@@ -196,6 +198,13 @@ class Lattice:
         self.bounds = [np.searchsorted(a[0], self.offset).tolist() for a in self.arcs]
         self.most = most
 
+    def weigh(self, weights: np.ndarray) -> None:
+        """Give the arcs other weights."""
+        for (_, _, piece), w in zip(self.arcs, self.weights, strict=True):
+            known = piece >= 0
+            w[known] = weights[piece[known]]
+            w[~known] = self.vocab.byte_weights(-1 - piece[~known], weights)
+
     def forward(self) -> np.ndarray:
         """Log of the summed weights of all ways from the start of a unit to a node."""
         out = np.full(self.nodes, -np.inf)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import chunks, give_back, mixed, uniforms
+from loomframe.llm.common import chunks, mixed, mixed_one, uniforms
 from loomframe.llm.lattice import MARK, SPACE, Lattice, ship, vocabulary
 
 UNIT = re.compile(r"▁*[^▁\n]+|▁+|\n")
@@ -51,7 +52,7 @@ class Units:
     ones are there.
     """
 
-    def __init__(self, vocab, weights: np.ndarray, most_arcs: int = 1_500_000):
+    def __init__(self, vocab, weights: np.ndarray, most_arcs: int = 400_000):
         self.vocab, self.weights, self.most_arcs = vocab, weights, most_arcs
         self.at: dict[str, int] = {}
         self.sizes = {"root": 0, "first": 1, "upto": 0, "log": 0, "rest": 0, "next": 0, "piece": 0}
@@ -170,8 +171,7 @@ class _Search:
 
     def counters(self, salt: int, n: int) -> np.ndarray:
         """Numbers of the text's own for n draws."""
-        with np.errstate(over="ignore"):
-            return mixed(np.array([self.key + np.uint64(salt)], dtype=np.uint64)) + np.arange(n, dtype=np.uint64)
+        return np.uint64(mixed_one(int(self.key) + salt)) + np.arange(n, dtype=np.uint64)
 
     def seeds(self, salt: int, n: int) -> np.ndarray:
         """Numbers for n draws that take many steps each."""
@@ -287,29 +287,26 @@ def spell(vocab, pieces: np.ndarray) -> np.ndarray:
 
 def decode(vocab, ids: np.ndarray) -> str:
     """The text of piece ids, with the space that encoding puts in front taken off."""
-    names, value = vocab.spaced, vocab.bytes_by_id
-    if not vocab.is_byte[ids].any():
-        return "".join(map(names.__getitem__, ids.tolist()))[1:]
-    # runs of bytes are one character or more; everything else is text already
-    parts, run = [], bytearray()
-    for i in ids.tolist():
-        if i in value:
-            run.append(value[i])
-            continue
-        if run:
-            parts.append(run.decode("utf-8", "surrogatepass"))
-            run = bytearray()
-        parts.append(names[i])
-    return ("".join(parts) + run.decode("utf-8", "surrogatepass"))[1:]
+    parts = list(map(vocab.spaced.__getitem__, ids.tolist()))
+    odd = np.flatnonzero(vocab.is_byte[ids])
+    if len(odd):
+        # a run of bytes is one character or more
+        gaps = np.flatnonzero(np.diff(odd) > 1)
+        for i, j in zip(odd[np.append(0, gaps + 1)].tolist(), (odd[np.append(gaps, len(odd) - 1)] + 1).tolist(), strict=True):
+            parts[i:j] = [vocab.byte_value[ids[i:j]].tobytes().decode("utf-8", "surrogatepass"), *[""] * (j - i - 1)]
+    return "".join(parts)[1:]
 
 
-def _encode(shipped, k: int, seed: int, most_bytes: int = 200_000):
-    held: dict[str, Units] = {}
+@lru_cache(1)
+def _units(names: tuple[str, ...], controls: frozenset[int], weights: bytes) -> Units:
+    """Kept by a worker from task to task; its size is bounded, and results don't depend on what it holds."""
+    return Units(vocabulary(names, controls), np.frombuffer(weights))
+
 
+def _encode(shipped, k: int, seed: int, most_bytes: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, controls, weights = shipped.value
-        vocab = vocabulary(names, controls)
-        units = held.setdefault("units", Units(vocab, weights))
+        vocab, units = vocabulary(names, controls), _units(names, controls, weights.tobytes())
         with np.errstate(over="ignore"):
             salt = mixed(np.array([seed], dtype=np.uint64))
         for big in batches:
@@ -333,9 +330,6 @@ def _encode(shipped, k: int, seed: int, most_bytes: int = 200_000):
                     [*picked.columns[1:], pa.array(nth, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), *(pa.array(x, pa.float64()) for x in (logp, perturbed, inclusion))],
                     names=[*b.schema.names[1:], "sample", "pieces", "logp", "perturbed", "inclusion"],
                 )
-        held.clear()
-        del units
-        give_back()
 
     return run
 
@@ -348,6 +342,9 @@ def encode(docs: DataFrame, model_path: str, k: int = 2, id_col: str = "doc_id",
     """Up to k sampled segmentations of each text: doc_id, (text,) sample (0 for the greatest perturbed log probability),
     pieces (ids), logp, perturbed, inclusion.
 
+    Files of merges hold ranks and no unigram scores. Of such a file a piece weighs 1 / (rank + 20), normalised: these are
+    not probabilities that the vocabulary was made with, and logp and inclusion are by them.
+
     Randomness comes from the seed and the row's id alone (a null id counts as 0, repeated rows are sampled alike), so
     results don't depend on partitions. A null or empty text has one segmentation, of no pieces; a text with fewer than k
     has fewer rows. An empty table gives an empty result. Other columns of the input are not read.
