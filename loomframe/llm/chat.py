@@ -104,11 +104,13 @@ def _flush(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _SEGMENTS = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("turn", pa.int64()), ("kind", pa.string()), ("text", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())])
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
 _NONE = object()
+#: Characters of output, with some for each row, that are held before they go on.
+HELD = 2_000_000
 
 
 def _write(template: Template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state, n, at, valid = _NONE, "start", 0, 0, True
+        conv, state, n, held, valid = _NONE, "start", 0, 0, True
         out: list[tuple] = []
 
         def end() -> None:
@@ -126,9 +128,10 @@ def _write(template: Template):
                 for kind, piece, loss in template.turn(role, text):
                     out.append((c, n, turn, kind, piece, loss, valid))
                     n += 1
-            if len(out) > 5000:
-                yield _flush(out, _SEGMENTS)
-                out = []
+                    held += len(piece) + 64
+                if held > HELD:
+                    yield _flush(out, _SEGMENTS)
+                    out, held = [], 0
         end()
         yield _flush(out, _SEGMENTS)
 
@@ -141,7 +144,8 @@ def segments(conversations: DataFrame, template: Template = Template()) -> DataF
     valid: the machine has accepted every turn of the conversation so far; on the last segment, also that it ends in a
     final state. Nothing is dropped: who wants valid conversations only filters by that flag. Null texts and roles count
     as empty; rows with a null conv_id form one conversation; a null turn comes first; ties are ordered by role and text
-    and repeated rows are repeated turns. Rows are streamed, so that a conversation of any length needs bounded memory.
+    and repeated rows are repeated turns. Rows are streamed and go on by
+    size, so that memory is bounded by some megabytes, an input batch and the longest text, whatever a conversation's length.
     """
     return _ordered(conversations).mapInArrow(_write(template), SEGMENTS)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import materialize
+from loomframe.llm.common import materialize, numbered_columns
 
 SUMMARY = "digest binary, n long"
 
@@ -92,18 +92,18 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1000) -> DataFrame:
-    """The rows of docs that stay, with all columns of docs. Copies of frequent texts go map-side, and each text is
-    shuffled once at most."""
-    digest, best = "__digest", "__best"
-    table = materialize(docs.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest"), F.lit(0).alias("row")), "digests")
-    winners = materialize(_winners(table, counters).select(F.col("digest").alias(digest), F.struct("best.doc_id").alias(best)), "winners")
-    alive = (
-        docs.withColumn(digest, digest_of(text_col))
-        .join(F.broadcast(winners), digest, "left")
-        .where(F.col(best).isNull() | F.col(best)["doc_id"].eqNullSafe(F.col(id_col)))
-    )
-    first = Window.partitionBy(digest).orderBy(F.col(id_col).desc_nulls_last())
-    return alive.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all columns of docs, whatever their names. Copies of frequent texts go map-side.
+    What is left of a group is reduced map-side, too, so that neither copies nor rows that also share the id gather in one
+    task. Null texts count as empty; a null id loses to any other; an empty table gives an empty result."""
+    names, at, key = docs.columns, docs.columns.index(text_col), docs.columns.index(id_col)
+    docs = numbered_columns(docs)
+    id_, digest = F.col(f"c{key}"), digest_of(f"c{at}").alias("digest")
+    table = materialize(docs.select(id_.alias("doc_id"), digest, F.lit(0).alias("row")), "digests")
+    winners = materialize(_winners(table, counters).select("digest", F.struct("best.doc_id").alias("best")), "winners")
+    alive = docs.select("*", digest).join(F.broadcast(winners), "digest", "left").where(F.col("best").isNull() | F.col("best")["doc_id"].eqNullSafe(id_))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    kept = alive.groupBy("digest").agg(F.max_by(row, F.struct(id_)).alias("row"))
+    return kept.select("row.*").toDF(*names)
 
 
 ORACLE = """

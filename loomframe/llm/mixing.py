@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import WORD, materialize, mixed
+from loomframe.llm.common import WORD, chunks, materialize, mixed, numbered_columns
 
 #: No document is taken more often than this.
 MOST = 3
@@ -98,35 +98,39 @@ class Mixture:
     document in a block (row, source_at, block, first word, words). slots: the output in order (shard, slot, source_at,
     block). Word counts come from the whole text, null texts and ids included (null text: no words); repeated rows are
     documents of their own; an empty table, or one without any word, gives an empty mixture. Results depend only on
-    the rows and the seed.
+    the rows and the seed. What reaches the driver, and is drawn there, has one row per source.
     """
 
-    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, block_words=64, shard_slots=16, most_shards=1024, most_sources=100_000, seed=7):
+    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, block_words=64, shard_slots=16, most_shards=1024, seed=7):
         self.block_words = block_words
-        words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-        self.rows = materialize(docs.select("*", F.monotonically_increasing_id().alias("__row"), words.alias("__size")), "rows")
-        sized = self.rows.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col("__size").alias("size"))
-        found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(most_sources + 1).collect()
-        if len(found) > most_sources:
-            raise ValueError(f"more than {most_sources} sources")
-        found.sort(key=lambda r: (r.source is None, r.source or ""))
-        sizes = [int(r.n) for r in found]
+        self.names, self.text_at = docs.columns, docs.columns.index(text_col)
+        id_, text, source = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col, source_col))
+        words = F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+        self.rows = materialize(numbered_columns(docs).select("*", F.monotonically_increasing_id().alias("row"), words.alias("size")), "rows")
+        sized = self.rows.select("row", id_.alias("doc_id"), source.cast("string").alias("source"), "size")
+        found = sized.groupBy("source").agg(F.sum("size").alias("n")).toArrow()
+        found = sorted(zip(found.column("source").to_pylist(), found.column("n").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or ""))
+        sizes = [n for _, n in found]
+        self.n_sources = len(found)
         targets = targets_of(sizes, [weights[i % len(weights)] for i in range(len(found))])
         blocks = np.array([-(-s // block_words) for s in sizes], dtype=np.int64)
         wanted = np.array([t * b / s if s else 0.0 for t, b, s in zip(targets, blocks, sizes, strict=True)])
         shards = max(1, min(most_shards, 200_000 // max(1, len(found)), int(wanted.sum()) // shard_slots))
         counts = draw(wanted, MOST * blocks, shards, seed)
-        spark = docs.sparkSession
-        # one small row per source: bounded by most_sources
-        self.sources = spark.createDataFrame(
-            [(i, r.source, s, t, int(b)) for i, (r, s, t, b) in enumerate(zip(found, sizes, targets, blocks, strict=True))],
-            "source_at int, source string, source_size long, target double, blocks long",
-        )
-        self.sized = sized.join(F.broadcast(self.sources.select("source_at", F.col("source").alias("__of"))), F.col("source").eqNullSafe(F.col("__of")), "left").drop("__of")
+        spark, at = docs.sparkSession, np.arange(len(found), dtype=np.int32)
+        columns = [pa.array(at), pa.array([x for x, _ in found], pa.string()), pa.array(sizes, pa.int64()), pa.array(targets, pa.float64()), pa.array(blocks)]
+        self.sources = spark.createDataFrame(pa.Table.from_arrays(columns, ["source_at", "source", "source_size", "target", "blocks"]))
+        self.sized = sized.join(self._small(self.sources.select("source_at", F.col("source").alias("of"))), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
         firsts = np.cumsum(counts, axis=0) - counts
-        plan = [(i, k, int(firsts[k, i]), int(counts[k, i]), int(blocks[i])) for k in range(shards) for i in range(len(found)) if counts[k, i]]
-        parts = max(1, min(len(plan), int(wanted.sum()) // 200_000 + 1))
-        self.slots = spark.createDataFrame(plan, "source_at int, shard int, first long, count long, blocks long").repartition(parts, "shard").mapInArrow(_slots(seed), SLOTS)
+        k, i = np.nonzero(counts)
+        columns = [pa.array(i.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(firsts[k, i]), pa.array(counts[k, i]), pa.array(blocks[i])]
+        plan = spark.createDataFrame(pa.Table.from_arrays(columns, ["source_at", "shard", "first", "count", "blocks"]))
+        parts = max(1, min(len(k), int(wanted.sum()) // 200_000 + 1))
+        self.slots = plan.repartition(parts, "shard").mapInArrow(_slots(seed), SLOTS)
+
+    def _small(self, table: DataFrame) -> DataFrame:
+        """A table with a row per source: broadcast if these are few."""
+        return F.broadcast(table) if self.n_sources <= 100_000 else table
 
     @property
     def spans(self) -> DataFrame:
@@ -154,7 +158,7 @@ class Mixture:
     def taken(self) -> DataFrame:
         """Per row of docs: doc_id, size, source_size, target, taken."""
         taken = self.uses.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        of = F.broadcast(self.sources.select("source_at", "source_size", "target"))
+        of = self._small(self.sources.select("source_at", "source_size", "target"))
         return (
             self.sized.join(taken, "row", "left")
             .join(of, "source_at", "left")
@@ -165,14 +169,14 @@ class Mixture:
         """The mixture slot by slot: shard, slot, source_at, block, row, first, words; a block has a row for each document in it."""
         return self.slots.join(self.spans, ["source_at", "block"])
 
-    def documents(self, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    def documents(self, chars_col: str | None = "n_chars") -> DataFrame:
         """The mixture as rows with the columns of docs: for each pass over a source, every maximal run of taken words of a
         document is one row, with the text from its first to its last word; a document taken as a whole keeps its text."""
-        runs = self.uses.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("__uses"))
-        columns = [c for c in self.rows.columns if c not in ("__row", "__size")]
-        joined = self.rows.join(runs.withColumnRenamed("row", "__row"), "__row").select(*[F.col(f"`{c}`") for c in columns], "__size", "__uses")
-        out = self.rows.select(*[F.col(f"`{c}`") for c in columns]).schema
-        return joined.mapInArrow(_cut(columns.index(text_col), columns.index(chars_col) if chars_col in columns else None), out)
+        runs = self.uses.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("uses"))
+        columns = self.rows.columns[: len(self.names)]
+        joined = self.rows.join(runs, "row").select(*columns, "size", "uses")
+        chars_at = self.names.index(chars_col) if chars_col in self.names else None
+        return joined.mapInArrow(_cut(self.text_at, chars_at), self.rows.select(*columns).schema).toDF(*self.names)
 
 
 def runs_of(uses: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -195,8 +199,7 @@ def _cut(text_at: int, chars_at: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for start in range(0, big.num_rows, 500):
-                b = big.slice(start, 500)
+            for b in chunks(big, text_at):
                 texts, sizes, uses = (b.column(i).to_pylist() for i in (text_at, b.num_columns - 2, b.num_columns - 1))
                 rows, parts = [], []
                 for i, (text, size, own) in enumerate(zip(texts, sizes, uses, strict=True)):

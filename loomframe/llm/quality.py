@@ -100,7 +100,8 @@ class QualityModel:
     @staticmethod
     def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500) -> QualityModel:
         """From whole texts of at most per_label rows of each label, those with the smallest hashes of their ids, whose
-        id's crc32 leaves a remainder other than 2 by 4. Ids with both labels, null ids and null labels are left out."""
+        id's crc32 leaves a remainder other than 2 by 4. Ids with both labels, null ids and null labels are left out; of rows
+        that share an id, the greatest text counts."""
         known = (
             labels.where((id_remainder(id_col, 4) != 2) & F.col(label_col).isin(0, 1))
             .groupBy(F.col(id_col).alias("__id"))
@@ -112,7 +113,8 @@ class QualityModel:
         if not chosen:
             return QualityModel(np.zeros(BUCKETS), 0.0)
         sample = docs.sparkSession.createDataFrame([(r["__id"], r["__label"]) for r in chosen], hashed.select("__id", "__label").schema)
-        texts = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select(F.col("__id").cast("long").alias("key"), F.col(text_col).cast("string").alias("text"), F.col("__label").alias("label"))
+        asked = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"))
+        texts = asked.groupBy(F.col("__id").cast("long").alias("key")).agg(F.max(F.col(text_col).cast("string")).alias("text"), F.max("__label").alias("label"))
         rows = texts.mapInArrow(_counted, "key long, buckets array<int>, counts array<int>, label int").toArrow().sort_by("key")
         examples = []
         for b in rows.to_batches():
