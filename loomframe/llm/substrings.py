@@ -3,9 +3,13 @@
 A shard is what stands around one anchor. Every window of `window` words has as its anchor the leftmost smallest hash of
 `gram` consecutive words in it, so equal windows have equal anchors, and neighbouring windows mostly share one. Anchors
 that different texts, or one text twice, have in common are found by an ordinary aggregation; only the passages around
-those go on. Passages with the same anchor meet in one task in document order: the automaton of a shard takes in each
-different passage, after the passage was streamed through it for its matching statistics. A window whose match is as
-long as itself has occurred earlier.
+those go on.
+
+The shards of the most frequent anchors, a bounded number, are put into one automaton that is broadcast: of each the
+passages in the first document that has it. Documents stream their passages with these anchors through it, map-side, for
+their matching statistics; a window whose match is as long as itself has occurred in that first document. All other
+passages are dealt by anchor and meet in one task in document order: the automaton of a shard takes in each different
+passage, after the passage was streamed through it.
 """
 
 from __future__ import annotations
@@ -20,12 +24,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import chunks, free_shuffles, materialize, mixed, words_of
+from loomframe.llm.common import chunks, drop_table, materialize, mixed, words_of
 
 #: A null id counts as smaller than any other.
 NULL_ID = -(2**63)
-SURVEY = "d long, is_null boolean, n_words int, sha binary, sha8 long, anchors array<long>, twice array<boolean>"
+SURVEY = "d long, x long, is_null boolean, n_words int, sha binary, sha8 long, anchors array<long>, twice array<boolean>"
 PASSAGES = "key long, d long, sha8 long, start int, n int, words binary"
+#: Kinds of suspect anchors: dealt by anchor, dealt by single windows, and of a broadcast shard (with either of these).
+PLAIN, HOT, BROADCAST = 0, 1, 2
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -100,6 +106,11 @@ def anchors_of(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray,
     return total[place[starts]].view(np.int64), starts, np.diff(np.append(starts, len(place)))
 
 
+def _place(d: int, start: int) -> int:
+    """A key that spreads the words of documents over tasks."""
+    return ((d + start + 2**63) & (2**64 - 1)) - 2**63
+
+
 def _sha8(sha: bytes) -> int:
     return int.from_bytes(sha[:8], "little", signed=True)
 
@@ -107,9 +118,9 @@ def _sha8(sha: bytes) -> int:
 def _survey(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in chunks(big, 2, 2_000_000):
+            for b in chunks(big, 3, 2_000_000):
                 n, shas, anchors, twice, ends = [], [], [], [], [0]
-                for text in b.column(2).to_pylist():
+                for text in b.column(3).to_pylist():
                     words = words_of(text)
                     n.append(len(words))
                     shas.append(hashlib.sha256(b" ".join(words)).digest())
@@ -118,26 +129,60 @@ def _survey(window: int, gram: int):
                     twice.append(times > 1)
                     ends.append(ends[-1] + len(found))
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (anchors, twice)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(shas, pa.binary()), pa.array(map(_sha8, shas), pa.int64()), *lists], ["d", "is_null", "n_words", "sha", "sha8", "anchors", "twice"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array(shas, pa.binary()), pa.array(map(_sha8, shas), pa.int64()), *lists], ["d", "x", "is_null", "n_words", "sha", "sha8", "anchors", "twice"])
 
     return run
 
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, text, anchors, hot, firsts): the rows that are the first with their words, with sha8 for firsts."""
-    for big in batches:
-        for b in chunks(big, 1, 2_000_000):
-            shas = [_sha8(hashlib.sha256(b" ".join(words_of(t))).digest()) for t in b.column(1).to_pylist()]
-            keep = pa.array([s in f for s, f in zip(shas, b.column(4).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (b.column(0), pa.array(shas, pa.int64()), *b.columns[1:4])], ["d", "sha8", "text", "anchors", "hot"])
+def _references(window: int, gram: int, most: int = 64):
+    """(text, anchors) to the different passages around these anchors, the first `most` of each; the others are dealt."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in chunks(big, 0, 2_000_000):
+                found: dict[tuple, None] = {}
+                for text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    words, left = words_of(text), dict.fromkeys(wanted, most)
+                    for anchor, start, n in zip(*(x.tolist() for x in anchors_of(words, window, gram)), strict=True):
+                        if left.get(anchor):
+                            left[anchor] -= 1
+                            found[b" ".join(words[start : start + n + window - 1])] = None
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], ["words"])
+
+    return run
 
-def _passages(window: int, gram: int):
-    """The passages around suspect anchors; a hot anchor's are cut into single windows, each under a key of its own, so
-    that no key gathers what merely borders on a frequent passage. Of equal passages of a chunk only the earliest goes
-    on; the others have occurred earlier and go on without words, dealt by place, as no shard has to see them."""
+
+def _spans(shard: SuffixAutomaton, words: list[bytes], window: int) -> list[tuple[int, int]]:
+    """Maximal ranges of windows, by start, that the shard holds."""
+    out: list[tuple[int, int]] = []
+    for i, length in enumerate(shard.statistics(words)):
+        if length >= window:
+            if out and out[-1][1] == i - window + 1:
+                out[-1] = (out[-1][0], i - window + 2)
+            else:
+                out.append((i - window + 1, i - window + 2))
+    return out
+
+
+def automaton_of(passages: list[bytes]) -> SuffixAutomaton:
+    shard = SuffixAutomaton()
+    for passage in passages:
+        for word in (*passage.split(b" "), None):
+            shard.extend(word)
+    return shard
+
+
+def _passages(window: int, gram: int, shared):
+    """(d, sha8, text, anchors, kinds, own) to the passages around suspect anchors. own: whether the document is the first
+    with the anchor, and so the reference of a broadcast shard.
+
+    Windows that the broadcast automaton knows from an earlier document go on without words, dealt by place, as no shard
+    has to see them. A hot anchor's passages are cut into single windows, each under a key of its own, so that no key
+    gathers what merely borders on a frequent passage. Of equal passages of a chunk only the earliest goes on; the others
+    have occurred earlier, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = shared.value
         for big in batches:
             for b in chunks(big, 2, 2_000_000):
                 rows: dict[tuple, tuple] = {}
@@ -148,23 +193,33 @@ def _passages(window: int, gram: int):
                     if held is None or at < held:
                         rows[key, words] = at
                         if held is not None:
-                            again.append((held[0] + held[2], *held))  # noqa: B023
+                            again.append((_place(held[0], held[2]), *held))  # noqa: B023
                     elif at != held:  # else a repeated row
-                        again.append((at[0] + at[2], *at))  # noqa: B023
+                        again.append((_place(at[0], at[2]), *at))  # noqa: B023
 
-                for d, sha8, text, suspect, hot in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                def deal(anchor: int, hot: bool, words: list[bytes], d: int, sha8: int, start: int, n: int) -> None:
+                    if not hot:
+                        return add(anchor, b" ".join(words[start : start + n + window - 1]), (d, sha8, start, n))
+                    for s in range(start, start + n):
+                        passage = b" ".join(words[s : s + window])
+                        add(xxhash.xxh64_intdigest(passage) - 2**63, passage, (d, sha8, s, 1))
+
+                for d, sha8, text, suspect, kinds, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     words = words_of(text)
-                    kinds = dict(zip(suspect, hot, strict=True))
+                    kind_of = dict(zip(suspect, zip(kinds, own, strict=True), strict=True))
                     for anchor, start, n in zip(*(x.tolist() for x in anchors_of(words, window, gram)), strict=True):
-                        kind = kinds.get(anchor)
-                        if kind is None:
+                        if anchor not in kind_of:
                             continue
-                        if kind:
-                            for s in range(start, start + n):
-                                passage = b" ".join(words[s : s + window])
-                                add(xxhash.xxh64_intdigest(passage) - 2**63, passage, (d, sha8, s, 1))
-                        else:
-                            add(anchor, b" ".join(words[start : start + n + window - 1]), (d, sha8, start, n))
+                        kind, reference = kind_of[anchor]
+                        at = start
+                        if kind & BROADCAST and not reference:
+                            for first, stop in _spans(shard, words[start : start + n + window - 1], window):
+                                again.append((_place(d, start + first), d, sha8, start + first, stop - first))
+                                if start + first > at:
+                                    deal(anchor, bool(kind & HOT), words, d, sha8, at, start + first - at)
+                                at = start + stop
+                        if start + n > at:
+                            deal(anchor, bool(kind & HOT), words, d, sha8, at, start + n - at)
                 out = [(key, *at, words) for (key, words), at in rows.items()] + [(*x, None) for x in again]
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "d", "sha8", "start", "n", "words"])
@@ -188,21 +243,9 @@ def _occurred(window: int):
                     key, seen, shard = k, {passage: (d, sha8, start)}, None
                     continue
                 if shard is None:
-                    shard = SuffixAutomaton()
-                    for old in seen:
-                        for word in (*old.split(b" "), None):
-                            shard.extend(word)
+                    shard = automaton_of(list(seen))
                 words = passage.split(b" ")
-                begin = None
-                for i, length in enumerate(shard.statistics(words)):
-                    if length >= window:
-                        if begin is None:
-                            begin = i - window + 1
-                    elif begin is not None:
-                        out.append((d, sha8, start + begin, start + i))
-                        begin = None
-                if begin is not None:
-                    out.append((d, sha8, start + begin, start + len(words)))
+                out += [(d, sha8, start + first, start + stop + window - 1) for first, stop in _spans(shard, words, window)]
                 for word in (*words, None):
                     shard.extend(word)
                 seen[passage] = (d, sha8, start)
@@ -234,7 +277,7 @@ def _cut(with_text: bool):
     return run
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, hot: int = 3000, keep_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, hot: int = 3000, frequent: int = 64, shards: int = 256, keep_text: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, with keep_text, kept_text.
 
     Removed is each word covered by a window of `window` words that also starts earlier: in a document with a smaller id,
@@ -243,33 +286,44 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     than any other; rows that share an id are ordered by a hash of their words, and repeated rows are one document. An
     empty table gives an empty result. kept_text: what is left, joined by single spaces; null where nothing changed but
     white space.
+
+    The anchors of most texts, `shards` of them at most, each in more than `frequent` texts, are broadcast.
     """
+    spark = docs.sparkSession
     d, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text_col).cast("string").alias("text")
-    survey = materialize(docs.select(d, F.col(id_col).isNull().alias("is_null"), text).mapInArrow(_survey(window, gram), SURVEY), "survey")
-    thin = survey.select("d", "is_null", "n_words", "sha", "sha8")
-    firsts = survey.groupBy("sha").agg(F.min("d").alias("first"), F.first("sha8").alias("sha8"))
-    each = survey.select("d", "sha8", F.explode(F.arrays_zip("anchors", "twice")).alias("x")).select("d", "sha8", F.col("x.anchors").alias("anchor"), F.col("x.twice").alias("twice"))
+    # rows with a null id share d: the hash of the text deals them to different tasks
+    keyed = docs.select(d, F.xxhash64(F.col(text_col).cast("string")).alias("x"), F.col(id_col).isNull().alias("is_null"), text)
+    survey = materialize(keyed.mapInArrow(_survey(window, gram), SURVEY), "survey")
+    thin = survey.select("d", "x", "is_null", "n_words", "sha", "sha8")
+    firsts = materialize(survey.groupBy("sha").agg(F.min(F.struct("d", "x")).alias("first")).select("sha", "first.*"), "firsts")
+    each = survey.select("d", "x", "sha8", F.explode(F.arrays_zip("anchors", "twice")).alias("a")).select("d", "x", "sha8", F.col("a.anchors").alias("anchor"), F.col("a.twice").alias("twice"))
     shared = (
         each.groupBy("anchor")
-        .agg(F.min("sha8").alias("low"), F.max("sha8").alias("high"), F.bool_or("twice").alias("twice"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("sha8").alias("low"), F.max("sha8").alias("high"), F.bool_or("twice").alias("twice"), F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "sha8")).alias("first"))
         .where("low <> high OR twice")
-        .select("anchor", (F.col("n") > hot).alias("hot"))
+        .select("anchor", "n", "first")
     )
-    suspects = each.select("d", "anchor").join(shared, "anchor").groupBy("d").agg(F.collect_set(F.struct("anchor", "hot")).alias("x"))
-    of = firsts.groupBy(F.col("first").alias("d")).agg(F.collect_list("sha8").alias("firsts"))
-    suspects = materialize(suspects.join(of, "d").select("d", F.col("x.anchor").alias("anchors"), F.col("x.hot").alias("hot"), "firsts"), "suspects")
-    free_shuffles(docs.sparkSession)
-    picked = docs.select(d, text).join(suspects, "d").select("d", "text", "anchors", "hot", "firsts")
-    picked = materialize(picked.mapInArrow(_pick, "d long, sha8 long, text string, anchors array<long>, hot array<boolean>"), "picked")
-    free_shuffles(docs.sparkSession)
-    passages = picked.mapInArrow(_passages(window, gram), PASSAGES)
+    shared = materialize(shared, "shared")
+    # one row for each broadcast shard
+    usual = shared.where(F.col("n") > frequent).orderBy(F.desc("n"), "anchor").limit(shards).select("anchor", F.lit(BROADCAST).alias("kind"))
+    kind = F.coalesce("kind", F.lit(PLAIN)) + (F.col("n") > hot).cast("int")
+    shared = materialize(shared.join(F.broadcast(usual), "anchor", "left").select("anchor", kind.alias("kind"), "first"), "shared")
+    suspects = each.join(shared, "anchor").select("d", "x", "sha8", F.struct("anchor", "kind", (F.struct("d", "sha8") == F.col("first")).alias("own")).alias("a"))
+    suspects = suspects.groupBy("d", "x").agg(F.first("sha8").alias("sha8"), F.collect_set("a").alias("a")).join(firsts.select("d", "x"), ["d", "x"], "left_semi")
+    suspects = materialize(suspects.select("d", "x", "sha8", F.col("a.anchor").alias("anchors"), F.col("a.kind").alias("kinds"), F.col("a.own").alias("own")), "suspects")
+    picked = materialize(keyed.select("d", "x", "text").join(suspects, ["d", "x"]).select("d", "sha8", "text", "anchors", "kinds", "own"), "picked")
+    asked = F.transform(F.filter(F.arrays_zip("anchors", "kinds", "own"), lambda a: a["own"] & (a["kinds"] >= BROADCAST)), lambda a: a["anchors"])
+    references = picked.select("text", asked.alias("anchors")).where(F.size("anchors") > 0).distinct().mapInArrow(_references(window, gram), "words binary")
+    # each passage has under two windows' words
+    known = [r.words for r in references.distinct().orderBy("words").limit(4 * shards).collect()]
+    passages = picked.mapInArrow(_passages(window, gram, spark.sparkContext.broadcast(automaton_of(known))), PASSAGES)
     spans = passages.repartition("key").sortWithinPartitions("key", "d", "sha8", "start").mapInArrow(_occurred(window), "d long, sha8 long, start int, stop int")
     spans = materialize(spans.groupBy("d", "sha8").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    free_shuffles(docs.sparkSession)
     cut = picked.select("d", "sha8", "text").join(spans, ["d", "sha8"]).mapInArrow(_cut(keep_text), "d long, sha8 long, removed long, left_sha256 string, left_text string")
-    cut = cut.groupBy("d", "sha8").agg(*[F.first(c).alias(c) for c in ("removed", "left_sha256", *(["left_text"] if keep_text else []))])  # repeated rows
-    copies = thin.join(firsts.select("sha", "first"), "sha")
-    out = copies.join(cut, ["d", "sha8"], "left")
+    cut = materialize(cut.groupBy("d", "sha8").agg(*[F.first(c).alias(c) for c in ("removed", "left_sha256", *(["left_text"] if keep_text else []))]), "cut")  # repeated rows
+    for table in (suspects, shared, picked, spans):
+        drop_table(table)
+    out = thin.join(firsts.select("sha", F.col("d").alias("first")), "sha").join(cut, ["d", "sha8"], "left")
     copied = (F.col("d") != F.col("first")) & (F.col("n_words") >= window)
     columns = [
         F.when(~F.col("is_null"), F.col("d")).alias("doc_id"),
