@@ -64,15 +64,6 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Nothing is left to do: materialize() deletes the shuffles of what it writes."""
-
-
-def give_back() -> None:
-    """Return what a finished task has freed to the system."""
-    pa.default_memory_pool().release_unused()
-
-
 def id_remainder(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col) % modulus
