@@ -137,12 +137,10 @@ def test_simhash_odd_rows(odd):
     by = {r[0]: r for r in got}
     assert by[0][1:] == by[1][1:] == by[2][1:] == ("0" * 16, 0)
     assert by[3][2] == by[4][2] == by[5][2] == by[None][2] == 3
-    kept = simhash.deduplicate(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {0, 3, 6, 8, 10, None} and kept.where("doc_id = 4").count() == 0
 
 
-@pytest.mark.parametrize("crowd", [4, 512])
-def test_simhash_crowds(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "hot"), [(4, 10**6), (4096, 10**6), (4096, 20), (4, 20)])
+def test_simhash_crowds(spark, monkeypatch, crowd, hot):
     rng = np.random.default_rng(1)
     prints = set()
     for base in rng.integers(0, 2**62, 3):
@@ -153,6 +151,7 @@ def test_simhash_crowds(spark, monkeypatch, crowd):
             prints.add(x)
     prints = sorted(prints)
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "HOT", hot)
     links = simhash.links_of(spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, rep long"))
     got = {r.node: r.component for r in components.components(links).collect()}
     assert [got.get(i, i) for i in range(len(prints))] == brute_components(len(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
@@ -204,7 +203,9 @@ def test_near_copies_of_given_tables(spark):
     assert {r.doc_id for r in near.deduplicate(docs).collect()} == brute_near(docs.select("doc_id", "text").orderBy("doc_id").collect())[0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]
     linked = set(pairs) | {(b, a) for a, b in pairs}
@@ -238,6 +239,26 @@ def test_passages(corpus, none, hot):
     assert substrings.digests(none).count() == 0
 
 
+def test_passages_through_the_broadcast_automaton(spark, corpus, monkeypatch):
+    docs = {r.doc_id: WORD.findall(r.text or "") for r in corpus.collect()}
+    for frequent, shards in ((1, 256), (3, 5), (10**6, 256)):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(corpus, frequent=frequent, shards=shards).collect()}
+        assert got == brute_passages(docs)
+    # a passage that 30 documents share, inside words of their own: all spans but the first document's come from it
+    rng = np.random.default_rng(16)
+    line = [f"p{i}" for i in range(30)]
+    texts = {i: [f"a{i}x{k}" for k in range(25)] + line + [f"b{i}x{k}" for k in range(25)] for i in rng.permutation(30).tolist()}
+    known = [b" ".join(w.encode() for w in line[s : s + n + 19]) for a, s, n in zip(*(x.tolist() for x in substrings.anchors_of([w.encode() for w in line], 20, 8)), strict=True)]
+    import pyarrow as pa
+
+    shared = type("Shared", (), {"value": substrings.automaton_of(known)})
+    anchors = [a for a in substrings.anchors_of([w.encode() for w in line], 20, 8)[0].tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array([7] * 30, pa.int64()), pa.array([" ".join(t) for t in texts.values()]), pa.array([anchors] * 30, pa.list_(pa.int64())), pa.array([[substrings.BROADCAST] * len(anchors)] * 30, pa.list_(pa.int32())), pa.array([[i == 0] * len(anchors) for i in texts], pa.list_(pa.bool_()))], ["d", "sha8", "text", "anchors", "kinds", "own"])
+    out = [r for b in substrings._passages(20, 8, shared)([batch]) for r in b.to_pylist()]
+    found = [(r["d"], s) for r in out if r["words"] is None for s in range(r["start"], r["start"] + r["n"])]
+    assert sorted(found) == [(d, s) for d in range(1, 30) for s in range(25, 36)]
+
+
 def test_passages_odd_rows(odd):
     docs = {i: WORD.findall(t or "") for i, t in {(r.doc_id, r.text) for r in odd.collect()} if i is not None}
     got = substrings.digests(odd).collect()
@@ -285,6 +306,13 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.segments(df.limit(0))).count() == 0
 
 
+def test_chat_of_long_texts(spark):
+    said = ["long </s> text " * 20_000, "short"]
+    df = spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], said[(c + t) % 2]) for c in range(12) for t in range(4)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.segments(df)).collect()
+    assert len(got) == 12 and all(r.valid and r.loss_chars == 2 * len(said[(r.conv_id + 1) % 2]) for r in got)
+
+
 # ---- mixing
 
 
@@ -321,6 +349,46 @@ def test_mix(spark, none):
     assert mixing.mix(none.select("doc_id", "text", "source")).count() == 0
 
 
+def test_draws():
+    wanted, most = np.array([30.0, 100.0, 0.0, 270.4]), np.array([40, 300, 0, 600])
+    sums = []
+    for seed in range(60):
+        counts = mixing.draw(wanted, most, 20, seed)
+        assert counts.sum(axis=1).tolist() == [400 * (k + 1) // 20 - 400 * k // 20 for k in range(20)] and (counts.sum(axis=0) <= most).all()
+        sums.append(counts.sum(axis=0))
+    assert np.abs(np.mean(sums, axis=0) - wanted).max() < 3 and np.abs(np.array(sums) - wanted).max() < 25
+    # each shard is drawn at random: counts scatter as a multinomial's do
+    first = np.array([mixing.draw(np.array([50.0, 50.0]), np.array([500, 500]), 1, s)[0, 0] for s in range(400)])
+    assert abs(first.var() - 25) < 8
+
+
+def test_taken_is_what_the_slots_take(corpus):
+    plan = mixing.Mixture(corpus, block_words=16)
+    size = {r.row: r.size for r in plan.sized.collect()}
+    spans, of = defaultdict(list), defaultdict(list)
+    for r in plan.spans.collect():
+        spans[r.source_at, r.block].append((r.row, r.words))
+        of[r.row].append((r.first, r.words))
+    for row, own in of.items():  # the spans of a document are its words, once
+        assert sorted(own)[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(sorted(own), sorted(own)[1:])) and sum(n for _, n in own) == size[row]
+    blocks = {r.source_at: r.blocks for r in plan.sources.collect()}
+    full = [sum(n for _, n in own) for own in spans.values()]
+    assert max(full) == 16 and sum(n < 16 for n in full) <= len(blocks) and len(spans) == sum(blocks.values())
+    taken, drawn = Counter(), defaultdict(list)
+    for r in plan.slots.collect():
+        drawn[r.source_at].append((r.slot, r.block))
+        for row, n in spans[r.source_at, r.block]:
+            taken[row] += n
+    for source, own in drawn.items():  # a pass over the source takes each block once
+        own.sort()
+        assert [s for s, _ in own] == list(range(len(own)))
+        for start in range(0, len(own), blocks[source]):
+            part = [b for _, b in own[start : start + blocks[source]]]
+            assert len(set(part)) == len(part) and set(part) <= set(range(blocks[source]))
+    ids = {r.row: r.doc_id for r in plan.sized.collect()}
+    assert {ids[row]: n for row, n in taken.items()} == {r.doc_id: r.taken for r in plan.taken().collect() if r.taken}
+
+
 def test_mixture_documents(corpus):
     plan = mixing.Mixture(corpus, block_words=16)
     out = plan.documents()
@@ -366,9 +434,9 @@ def skewed(spark):
 
 
 def test_audit_sees_small_groups_beside_a_large_one(spark, skewed):
-    large = [(u, 512, [w for w in range(120) if w != u], [1.0] * 119, [False] * 119) for u in range(120)]
+    large = [(u, 512, [w for w in range(120) if w != u], [1.0] * 119, [False] * 119, 0, False) for u in range(120)]
     small = {u: u + 30 if u < 150 else u - 30 for u in range(120, 180)}
-    lists = lambda lost: spark.createDataFrame(large + [(u, 8, [] if u in lost or w in lost else [w], [] if u in lost or w in lost else [1.0], []) for u, w in small.items()] + [(u, 8, [], [], []) for u in range(180, 240)], vectors.LISTS)
+    lists = lambda lost: spark.createDataFrame(large + [(u, 8, [] if u in lost or w in lost else [w], [] if u in lost or w in lost else [1.0], [], 0, False) for u, w in small.items()] + [(u, 8, [], [], [], 0, False) for u in range(180, 240)], vectors.LISTS)
     assert vectors._recall(skewed, lists(()), 0.95) == 1.0
     # 10 pairs lost of 30 are 20 links of 14,340
     assert vectors._recall(skewed, lists(range(120, 130)), 0.95) < 0.9
@@ -377,10 +445,47 @@ def test_audit_sees_small_groups_beside_a_large_one(spark, skewed):
 def test_audit_runs_after_any_number_of_rounds(spark, skewed, monkeypatch):
     asked = []
     monkeypatch.setattr(vectors, "_recall", lambda *args, **_: asked.append(1) or (1.0 if len(asked) == 3 else 0.0))
-    assert vectors.neighbour_links(skewed, most=4, k=2).count() == 120 * 119 + 60 and len(asked) == 3
+    lists = vectors.neighbours(skewed, most=4, k=2)
+    assert vectors.plain_links(lists, 0.95).count() == 120 * 119 + 60 and len(asked) == 3
     monkeypatch.setattr(vectors, "_recall", lambda *_, **__: 0.0)
     with pytest.raises(vectors.LoomError, match="recall"):
-        vectors.neighbour_links(skewed, most_audits=2)
+        vectors.neighbours(skewed, most_audits=2)
+
+
+@pytest.mark.parametrize("centres", [4, 1024])
+def test_dense_groups_are_counted(spark, centres):
+    """Groups of 700 and 150 near vectors, with a fringe that only some members are near to, pairs, copies and others."""
+    rng = np.random.default_rng(13)
+    around = lambda x, n, by: x + rng.standard_normal((n, 24)) * by
+    a, b = rng.standard_normal((2, 24))
+    pairs = rng.standard_normal((30, 24))
+    x = np.concatenate([around(a, 700, 0.16), around(a, 60, 0.3), around(b, 150, 0.05), pairs, pairs + rng.standard_normal((30, 24)) * 0.02, rng.standard_normal((100, 24))])
+    x = np.concatenate([x, x[:40], x[760:770]]).astype(np.float32)
+    ids = rng.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(5)
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.95
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.deduplicate(df, most_list=20).collect()}
+    order = np.argsort(ids)
+    roots = brute_components(len(x), lambda p, q: near[order[p], order[q]])
+    assert {i: got[i] for i in range(len(x))} == {i: (int(near[order[i]].sum()) - 1, roots[i]) for i in range(len(x))}
+    lists = vectors.neighbours(df.groupBy("embedding").agg(F.min("vec_id").alias("u")).select("u", F.col("embedding").alias("vec")), most_list=20)
+    assert lists.where("dense").count() > 500
+    told = vectors.dense_links(lists.select("u", "dense").join(df.select(F.col("vec_id").alias("u"), F.lit(1).cast("long").alias("times"), F.col("embedding").alias("vec")), "u").select("u", "times", "dense", "vec"), 0.95, centres=centres, block=100)
+    once = {i for i, in lists.select("u").collect()}
+    counted = {r.u: r.n for r in told.where("n IS NOT NULL").groupBy("u").agg(F.sum("n").alias("n")).collect()}
+    some = [i for i in once if i in counted and counted[i] > 20]
+    at = np.array([order[i] for i in sorted(once)])
+    assert all(counted[r.u] == int(near[order[r.u]][at].sum()) - 1 for r in lists.where("dense").select("u").collect()) and len(some) > 500
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    x, y = [1.0, 0.0, 0.1], [1.0, 0.0, 0.12]
+    df = spark.createDataFrame([(1, x), (1, x), (2, y), (None, x), (None, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(vectors.deduplicate(df).collect(), key=str)
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id) == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False)]
+    assert sorted(((r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None), key=str) == [(0, None, False), (3, 1, False)]
 
 
 # ---- language and quality
@@ -403,13 +508,57 @@ def test_language(spark, odd, none):
 def test_hypervectors_are_what_they_say():
     texts = ["abc abd", "ÀB1c", "", "x"]
     letters, got = language.bundles(texts)
-    first, second, third = language.letter_vectors()
-    table = language.symbol_table()
     for text, n, v in zip(texts, letters, got, strict=True):
-        symbols = [int(table[ord(c)]) for c in text]
-        run = [0, *[s for i, s in enumerate(symbols) if s or (i and symbols[i - 1])], 0]
-        wanted = sum((first[run[i - 1]] * second[run[i]] * third[run[i + 1]] for i in range(1, len(run) - 1) if run[i]), np.zeros(language.DIMENSIONS))
-        assert n == sum(s > 0 for s in symbols) and np.array_equal(v, wanted)
+        assert n == sum(c.isalpha() for c in text) and np.array_equal(v, brute_bundle(text))
+    own = language.letter_vectors(np.arange(3000))
+    assert set(np.unique(own)) == {-1.0, 1.0} and len(np.unique(own, axis=0)) == 3000
+
+
+def brute_bundle(text):
+    vector = lambda c: language.letter_vectors(np.array([ord(c) if c else 0]))[0]
+    run = [""]
+    for c in (c.lower()[0] if c.isalpha() else "" for c in text):
+        if c or run[-1]:
+            run.append(c)
+    run.append("")
+    out = np.zeros(language.DIMENSIONS)
+    for a, b, c in zip(run, run[1:], run[2:]):
+        if b:
+            out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+def test_language_by_brute_force(spark):
+    rng = np.random.default_rng(14)
+    letters = {"xx": "abcdefg", "yy": "efghijk", "zz": "абвгде"}
+    data = [(i, " ".join("".join(rng.choice(list(letters[k]), 4)) for _ in range(int(rng.integers(1, 12)))), k if i % 6 else None) for i in range(80) for k in [("xx", "yy", "zz")[i % 3]]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    sums = defaultdict(lambda: np.zeros(language.DIMENSIONS))
+    for i, t, k in data:
+        if k and crc32(str(i).encode()) % 5:
+            sums[k] += brute_bundle(t)
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    for r in language.identify(df).collect():
+        own = {k: cosine(brute_bundle(data[r.doc_id][1]), v) for k, v in sums.items()}
+        assert r.score == pytest.approx(max(0, max(own.values())), abs=1e-5) and own[r.lang_pred] == pytest.approx(max(own.values()), abs=1e-5)
+
+
+def test_text_in_no_learned_language(spark):
+    rng = np.random.default_rng(15)
+    known = [" ".join(rng.choice(["bana", "nana", "gana", "lama", "soma"], int(rng.integers(2, 60)))) for _ in range(60)]
+    other = [" ".join("".join(rng.choice(list("qwxzkvjy"), 5)) for _ in range(40)) for _ in range(20)]
+    df = spark.createDataFrame([*((i, t, "xx") for i, t in enumerate(known)), *((100 + i, t, None) for i, t in enumerate(other))], "doc_id long, text string, lang string")
+    import corpus_pipeline
+
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()} == set(range(60))
+
+
+def test_many_short_texts_take_little_memory():
+    import subprocess
+    import sys
+
+    code = "import numpy as np, resource; from loomframe.llm import language; r = np.random.default_rng(0); t = [''.join(r.choice(list('abcdefghijklmnopqrstuvwxyz'), 100)) for _ in range(10_000)]; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; language.bundles(t); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)"
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 300
 
 
 def test_quality(spark, odd, none):
@@ -428,6 +577,61 @@ def test_quality(spark, odd, none):
     assert quality.classify(none, labels).count() == 0 and quality.classify(odd, labels).count() == 12
 
 
+def brute_features(text):
+    m64 = 2**64 - 1
+    points = [0, *map(ord, text), 0]
+    blank = [c in (0, 32) or 9 <= c <= 13 for c in points]
+    code = [0x1234567 if b else common.mixed_one((c & 255) + 77) ^ ((c >> 8) * 0x9E3779B97F4A7C15 & m64) for c, b in zip(points, blank, strict=True)]
+    found, words, start = [], [], None
+    for i, b in enumerate(blank):
+        if not b and start is None:
+            start = i
+        if b and start is not None:
+            words.append(sum(code[j] * (common.mixed_one(1001 + (j - start & 63)) | 1) for j in range(start, i)) & m64)
+            start = None
+    found += words + [99 if a == b else (b * 0xD6E8FEB86659FD93 + a) & m64 for a, b in zip(words, words[1:])]
+    for n in (1, 3, 4):
+        for i in range(len(points) - n + 1):
+            if not any(blank[i + k] for k in range(n) if n == 1 or 0 < k < n - 1):
+                h = n
+                for c in code[i : i + n]:
+                    h = (h * 0x100000001B3 + c) & m64
+                found.append(h)
+    return Counter((h * 0x9E3779B97F4A7C15 & m64) >> 47 for h in found)
+
+
+def test_quality_by_brute_force():
+    texts = ["ab cd cd", "", "x", "é\U0001f600 a  b\tc", "ab", "zz zz zz q"]
+    doc, bucket = quality.features(texts)
+    assert [Counter(bucket[doc == i].tolist()) for i in range(len(texts))] == [brute_features(t) for t in texts]
+    # the same descent with dense arrays
+    examples, dense = [], []
+    for i, t in enumerate(texts):
+        n = brute_features(t)
+        keys = np.array(sorted(n), dtype=np.int64)
+        share = np.array([n[k] for k in keys.tolist()], dtype=np.float32) / max(1, sum(n.values()))
+        examples.append((keys, share, i % 2))
+        dense.append((dict(zip(keys.tolist(), share.tolist(), strict=True)), i % 2))
+    rng = np.random.default_rng(3)
+    v = rng.uniform(-1 / quality.DIMENSIONS, 1 / quality.DIMENSIONS, (quality.BUCKETS, quality.DIMENSIONS))
+    w, b = np.zeros((2, quality.DIMENSIONS)), np.zeros(2)
+    for step, i in enumerate([i for _ in range(6) for i in rng.permutation(len(dense))]):
+        shares, label = dense[i]
+        hidden = sum((x * v[k] for k, x in shares.items()), np.zeros(quality.DIMENSIONS))
+        scores = np.exp(w @ hidden + b)
+        off = scores / scores.sum() - np.eye(2)[label]
+        rate, back = 1 - step / (6 * len(dense)), off @ w
+        w, b = w - rate * np.outer(off, hidden), b - 0.1 * rate * off
+        for k, x in shares.items():
+            v[k] -= rate * 20 * x * back
+    model = quality.QualityModel.train(examples)
+    for t, p in zip(texts, model.predict(texts), strict=True):
+        n = brute_features(t)
+        hidden = sum((c * v[k] for k, c in n.items()), np.zeros(quality.DIMENSIONS)) / max(1, sum(n.values()))
+        odds = np.exp(w @ hidden + b)
+        assert p == pytest.approx(odds[1] / odds.sum(), abs=1e-4)
+
+
 # ---- pieces
 
 
@@ -492,6 +696,32 @@ def test_sampling_is_gumbel_top_k(vocab):
     assert {tuple(x[0].tolist()) for x in whole} == set(every) and all(x[3] == 1.0 for x in whole)
 
 
+def test_inclusion_weighs_samples_rightly(vocab):
+    """Sums over a sample, each member divided by its inclusion, are right on average: here, the sum of all chances."""
+    v, w, controls = vocab
+    units = sampling.units_of("or to")
+    flat = w * 0.15
+    flat[list(controls)] = -np.inf
+    every = [a + b for a in segmentations(v, controls, units[0]) for b in segmentations(v, controls, units[1])]
+    total = np.logaddexp.reduce([flat[list(s)].sum() for s in every])
+    keys = np.random.default_rng(10).integers(0, 2**63, 3000).astype(np.uint64)
+    for k in (2, 4):
+        sums = [sum(math.exp(logp) / inclusion for _, logp, _, inclusion in own) for own in sampling.sample(sampling.Units(v, flat), [units] * len(keys), keys, k)]
+        assert np.mean(sums) == pytest.approx(1.0, abs=0.05)
+    longer = [flat[list(s)].sum() - total for s in every if len(s) > 3]
+    pieces = {tuple(s) for s in every if len(s) > 3}
+    sums = [sum(math.exp(logp) / q for x, logp, _, q in own if tuple(x.tolist()) in pieces) for own in sampling.sample(sampling.Units(v, flat), [units] * len(keys), keys, 4)]
+    assert np.mean(sums) == pytest.approx(float(np.exp(longer).sum()), rel=0.1)
+
+
+def test_long_texts_without_spaces(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(30_000)) + "é\u2581\U0001f600" * 300
+    docs = documents(spark, text, text * 2, ids=[1, 2])
+    assert all(r.exact for r in sampling.round_trip(docs, queries.PIECES).collect())
+    one, two = (r for r in sorted(scoring.score(docs, queries.PIECES).collect()))
+    assert one.n_tokens == two.n_tokens == 2 and 0 > one.score > two.score > -math.inf
+
+
 def test_round_trip(odd, none):
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     got = sampling.round_trip(odd, queries.PIECES, 3).collect()
@@ -515,27 +745,38 @@ def test_units_that_pass_are_forgotten(vocab):
 
 @pytest.mark.parametrize("usual", [0, 5, 100_000])
 def test_scores(spark, corpus, vocab, usual):
-    got = {r.doc_id: r for r in scoring.score(corpus, queries.PIECES, most_usual=usual).collect()}
-    docs = {r.doc_id: (r.text or "").encode().lower().split() for r in corpus.collect()}
+    """Against sums over all segmentations, one by one, with weights fitted by such sums."""
+    v, weights, controls = vocab
+    rounds = 1
+    few = corpus.where("doc_id % 4 = 0 AND doc_id <> 115").withColumn("text", F.substring("text", 1, 40))
+    got = {r.doc_id: r for r in scoring.score(few, queries.PIECES, most_usual=usual, rounds=rounds).collect()}
+    docs = {r.doc_id: (r.text or "").encode().lower().split() for r in few.collect()}
     learn = {i for i in docs if crc32(str(i).encode()) % 10}
     counts = Counter(w for i in learn for w in docs[i])
-    counts[b""] = len(learn)
-    total, kinds = sum(counts.values()), len(counts)
-    for i, words in docs.items():
-        tokens = [*words, b""]
-        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in tokens)
+    ways = {w: segmentations(v, controls, "▁" + w.decode()) for own in docs.values() for w in own}
+    uses = np.full(len(v.pieces), 0.05)
+    uses[list(controls)] = 0
+    for w, n in counts.items():
+        logs = [weights[list(s)].sum() for s in ways[w]]
+        for s, p in zip(ways[w], np.exp(logs - np.logaddexp.reduce(logs)), strict=True):
+            np.add.at(uses, list(s), n * p)
+    with np.errstate(divide="ignore"):
+        fitted = np.log(uses / uses.sum())
+    total = lambda w, by: np.logaddexp.reduce([by[list(s)].sum() for s in ways[w]])
+    words, counts[b""] = dict(counts), len(learn)
+    size, kinds = sum(counts.values()), len(counts)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    off = min(0.95, max(0.1, once / (once + 2 * twice)))
+    end = math.log((len(learn) - off) / size)
+    for i, own in docs.items():
+        tokens = [*own, b""]
         r = got[i]
-        assert r.base_score == pytest.approx(base) and (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(counts[w] > 0 for w in tokens), total, i not in learn)
-        assert r.score < 0
-    # the score is the product over words of: count less discount, or the summed segmentations
-    words = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, n long")
-    model = scoring.LatticeModel.fit(words, queries.PIECES)
-    v = vocab[0]
-    for i in list(docs)[:10]:
-        units = scoring._units(docs[i])
-        found = lattice.Lattice(units, v, model.weights)
-        logp = model.joined(np.array([counts[w] for w in docs[i]]), found.totals(found.forward()))
-        assert got[i].score == pytest.approx((logp.sum() + model.end(len(learn))) / math.log(10))
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (size + 0.1 * (kinds + 1))) for w in tokens))
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(counts[w] > 0 for w in tokens), size, i not in learn)
+        assert r.score * math.log(10) == pytest.approx(sum(total(w, fitted) for w in own) + end)
+        assert r.vocabulary_score * math.log(10) == pytest.approx(sum(total(w, weights) for w in own) + end)
+        joint = sum(math.log(max(words.get(w, 0) - off, 0) / size + off * kinds / size * math.exp(total(w, fitted))) for w in own)
+        assert r.word_score * math.log(10) == pytest.approx(joint + end)
 
 
 def test_scores_odd_rows(odd, none):
@@ -573,6 +814,18 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == docs.count()
 
 
+def test_names_that_operators_use(spark):
+    names = ["doc_id", "text", "source", "row", "set", "size", "fp", "prefix", "counts", "digest", "best", "uses", "component", "node", "c1"]
+    docs = spark.createDataFrame([(i, t, f"s{i % 2}", *range(12)) for i, t in enumerate(["a b c d e f g", "a b c d e f g", "A b c d e f g", "x y", None])], ", ".join(f"{n} {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == names and rows(kept.select("doc_id", "c1", "digest")) == [(i, 11, 6) for i in (1, 2, 3, 4)]
+    kept = near.deduplicate(docs)
+    assert kept.columns == names and rows(kept.select("doc_id", "set", "node")) == [(i, 1, 10) for i in (0, 3, 4)]
+    mixed_ = mixing.Mixture(docs, block_words=4).documents()
+    assert mixed_.columns == names and {r.row for r in mixed_.collect()} == {0}
+    assert mixing.mix(docs).count() == 5
+
+
 def test_stages_on_odd_rows(spark, odd, none):
     import corpus_pipeline
 
