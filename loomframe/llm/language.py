@@ -23,7 +23,7 @@ UNKNOWN = "und"
 #: Letters of a text of which half the cosine is asked that long texts need.
 HALF_ASKED = 50
 #: Cells of the table of counts, texts x different trigrams, that is held at once.
-CELLS = 4_000_000
+CELLS = 1_000_000
 
 
 @lru_cache(1)
@@ -63,7 +63,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def different(grams: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """The different trigrams, sorted, and the place of each trigram among them."""
-    if symbols**3 > 4_000_000:
+    if symbols**3 > 1_000_000:
         return np.unique(grams, return_inverse=True)
     used = np.flatnonzero(np.bincount(grams, minlength=1))
     place = np.zeros(symbols**3, dtype=np.int64)
@@ -107,7 +107,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
 
     for big in batches:
-        for b in chunks(big, 0, 1_000_000):
+        for b in chunks(big, 0, 500_000):
             order: dict[str, list[str]] = {}
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 order.setdefault(lang, []).append(t)
@@ -178,7 +178,7 @@ def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text", leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
         for big in batches:
-            for b in chunks(big, at, 1_000_000):
+            for b in chunks(big, at, 500_000):
                 names, scores = own.predict([t or "" for t in b.column(at).to_pylist()], least)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names, "lang_pred", "lang_score"])
 

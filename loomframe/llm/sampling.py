@@ -52,7 +52,7 @@ class Units:
     ones are there.
     """
 
-    def __init__(self, vocab, weights: np.ndarray, most_arcs: int = 400_000):
+    def __init__(self, vocab, weights: np.ndarray, most_arcs: int = 250_000):
         self.vocab, self.weights, self.most_arcs = vocab, weights, most_arcs
         self.at: dict[str, int] = {}
         self.sizes = {"root": 0, "first": 1, "upto": 0, "log": 0, "rest": 0, "next": 0, "piece": 0}
