@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,11 @@ from loomframe.llm.common import WORD, chunks, materialize, mixed, numbered_colu
 #: No document is taken more often than this.
 MOST = 3
 WEIGHTS = (1, 2, 3)
+#: Up to so many sources the plan is made on the driver; of more it is made by tasks, which draw for so many at a time.
+FEW = 10_000
+#: Shards where sources are many: each one's draw goes over all sources.
+SHARDS_OF_MANY = 64
+PLAN = "source_at int, shard int, first long, count long, blocks long"
 SLOTS = "source_at int, shard int, slot long, block long"
 
 
@@ -43,12 +49,15 @@ def targets_of(sizes: list[int], weights: list[int]) -> list[float]:
 def draw(wanted: np.ndarray, most: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Slots per shard and source. Each shard's counts are multinomial, by the slots each source still lacks, so that
     what one shard draws too much or too little later ones make up. No source gets more than `most` slots."""
-    rng = np.random.default_rng(seed)
     total = int(round(float(wanted.sum())))
-    counts = np.zeros((shards, len(wanted)), dtype=np.int64)
+    return drawn(wanted, most, [total * (k + 1) // shards - total * k // shards for k in range(shards)], np.random.default_rng(seed))
+
+
+def drawn(wanted: np.ndarray, most: np.ndarray, slots: list[int], rng: np.random.Generator) -> np.ndarray:
+    """draw() for shards of so many slots each."""
+    counts = np.zeros((len(slots), len(wanted)), dtype=np.int64)
     taken = np.zeros(len(wanted), dtype=np.int64)
-    for k in range(shards):
-        n = total * (k + 1) // shards - total * k // shards
+    for k, n in enumerate(slots):
         while n > 0:
             room = most - taken
             lack = np.where(room > 0, np.maximum(wanted - taken, 0.0), 0.0)
@@ -75,6 +84,62 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 24) ->
     return x
 
 
+def _plan(counts: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> pa.Table:
+    """Which slots of its source a shard takes, of counts (shards x sources)."""
+    firsts = np.cumsum(counts, axis=0) - counts
+    k, i = np.nonzero(counts)
+    columns = [pa.array(at[i].astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(firsts[k, i]), pa.array(counts[k, i]), pa.array(blocks[i])]
+    return pa.Table.from_arrays(columns, ["source_at", "shard", "first", "count", "blocks"])
+
+
+def _plan_of_bucket(shared, seed: int, few: int):
+    """From the rows of `few` neighbouring sources: the plan that deals them the slots which each shard gives their bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("source_at")
+        at, wanted, blocks = (table.column(c).to_numpy() for c in ("source_at", "wanted", "blocks"))
+        bucket = int(at[0]) // few
+        return _plan(drawn(wanted, MOST * blocks, shared.value[:, bucket].tolist(), np.random.default_rng([seed, bucket])), at, blocks)
+
+    return run
+
+
+def _numbered(by_source: DataFrame) -> DataFrame:
+    """source_at, source, source_size: sources numbered by code point, null last, range by range."""
+    ranges = materialize(by_source.orderBy(F.col("source").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()), "sources")
+    ranges = ranges.withColumn("range", F.shiftright("id", 33))
+    first, rows = 0, []
+    for r in sorted(ranges.groupBy("range").count().collect()):
+        rows.append((r[0], first))
+        first += r[1]
+    firsts = ranges.sparkSession.createDataFrame(rows, "range long, start long")
+    return ranges.join(F.broadcast(firsts), "range").select((F.col("start") + F.col("id").bitwiseAND((1 << 33) - 1)).cast("int").alias("source_at"), "source", "source_size")
+
+
+def _with_targets(numbered: DataFrame, weights) -> DataFrame:
+    """numbered with targets as of targets_of(). A source is full if its size is below a bound that depends on its weight
+    alone; bounds only rise, so what reaches the driver has a row a round."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(w.denominator for w in exact))
+    units = [int(w * scale) for w in exact]
+    kind, bounds, before = F.col("source_at") % len(units), [0] * len(units), None
+    while True:
+        below = F.lit(False)
+        for k, b in enumerate(bounds):
+            below = below | ((kind == k) & (F.col("source_size") < b))
+        open_ = [F.count_if((kind == k) & ~below) for k in range(len(units))]
+        total, full, *counts = numbered.agg(F.sum("source_size"), F.coalesce(F.sum(F.when(below, F.col("source_size"))), F.lit(0)), *open_).first()
+        share, left = sum(n * w for n, w in zip(counts, units, strict=True)), total - MOST * full
+        if counts == before or not share:
+            break
+        # size * MOST < left * weight / share, in whole numbers
+        before, bounds = counts, [-(-left * w // (MOST * share)) for w in units]
+    target = (F.lit(MOST) * F.col("source_size")).cast("double")
+    for k, w in enumerate(units):
+        target = F.when((kind == k) & ~below, F.lit(float(Fraction(left * w, share or 1)))).otherwise(target)
+    return numbered.withColumn("target", target)
+
+
 def _slots(seed: int, at_once: int = 100_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,7 +163,7 @@ class Mixture:
     document in a block (row, source_at, block, first word, words). slots: the output in order (shard, slot, source_at,
     block). Word counts come from the whole text, null texts and ids included (null text: no words); repeated rows are
     documents of their own; an empty table, or one without any word, gives an empty mixture. Results depend only on
-    the rows and the seed. What reaches the driver, and is drawn there, has one row per source.
+    the rows and the seed. What reaches the driver has one row per source up to FEW sources, and one per FEW of them beyond.
     """
 
     def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, block_words=64, shard_slots=16, most_shards=1024, seed=7):
@@ -108,29 +173,45 @@ class Mixture:
         words = F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
         self.rows = materialize(numbered_columns(docs).select("*", F.monotonically_increasing_id().alias("row"), words.alias("size")), "rows")
         sized = self.rows.select("row", id_.alias("doc_id"), source.cast("string").alias("source"), "size")
-        found = sized.groupBy("source").agg(F.sum("size").alias("n")).toArrow()
-        found = sorted(zip(found.column("source").to_pylist(), found.column("n").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or ""))
+        by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+        found = by_source.limit(FEW + 1).toArrow()
+        self.few = found.num_rows <= FEW
+        plan, total = self._planned_here(found, weights, shard_slots, most_shards, seed) if self.few else self._planned_by_tasks(by_source, weights, shard_slots, most_shards, seed)
+        self.sized = sized.join(self._small(self.sources.select("source_at", F.col("source").alias("of"))), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        parts = max(1, total // 200_000 + 1)
+        self.slots = plan.repartition(parts, *(["shard"] if self.few else ["shard", "source_at"])).mapInArrow(_slots(seed), SLOTS)
+
+    def _planned_here(self, found: pa.Table, weights, shard_slots: int, most_shards: int, seed: int) -> tuple[DataFrame, int]:
+        """The plan and its number of slots; sets sources."""
+        found = sorted(zip(found.column("source").to_pylist(), found.column("source_size").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or ""))
         sizes = [n for _, n in found]
-        self.n_sources = len(found)
         targets = targets_of(sizes, [weights[i % len(weights)] for i in range(len(found))])
-        blocks = np.array([-(-s // block_words) for s in sizes], dtype=np.int64)
+        blocks = np.array([-(-s // self.block_words) for s in sizes], dtype=np.int64)
         wanted = np.array([t * b / s if s else 0.0 for t, b, s in zip(targets, blocks, sizes, strict=True)])
         shards = max(1, min(most_shards, 200_000 // max(1, len(found)), int(wanted.sum()) // shard_slots))
-        counts = draw(wanted, MOST * blocks, shards, seed)
-        spark, at = docs.sparkSession, np.arange(len(found), dtype=np.int32)
+        spark, at = self.rows.sparkSession, np.arange(len(found), dtype=np.int32)
         columns = [pa.array(at), pa.array([x for x, _ in found], pa.string()), pa.array(sizes, pa.int64()), pa.array(targets, pa.float64()), pa.array(blocks)]
         self.sources = spark.createDataFrame(pa.Table.from_arrays(columns, ["source_at", "source", "source_size", "target", "blocks"]))
-        self.sized = sized.join(self._small(self.sources.select("source_at", F.col("source").alias("of"))), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-        firsts = np.cumsum(counts, axis=0) - counts
-        k, i = np.nonzero(counts)
-        columns = [pa.array(i.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(firsts[k, i]), pa.array(counts[k, i]), pa.array(blocks[i])]
-        plan = spark.createDataFrame(pa.Table.from_arrays(columns, ["source_at", "shard", "first", "count", "blocks"]))
-        parts = max(1, min(len(k), int(wanted.sum()) // 200_000 + 1))
-        self.slots = plan.repartition(parts, "shard").mapInArrow(_slots(seed), SLOTS)
+        return spark.createDataFrame(_plan(draw(wanted, MOST * blocks, shards, seed), at, blocks)), int(wanted.sum())
+
+    def _planned_by_tasks(self, by_source: DataFrame, weights, shard_slots: int, most_shards: int, seed: int) -> tuple[DataFrame, int]:
+        """The same for any number of sources. Each shard deals its slots to buckets of FEW neighbouring sources on the
+        driver and inside a bucket in a task, which makes the same multinomial distribution in two steps."""
+        blocks = F.expr(f"(source_size + {self.block_words - 1}) div {self.block_words}")
+        self.sources = materialize(_with_targets(_numbered(by_source), weights).withColumn("blocks", blocks), "targets")
+        wanted = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+        bucketed = self.sources.select("source_at", "blocks", wanted.alias("wanted"), F.expr(f"source_at div {FEW}").alias("bucket"))
+        # decimals, as a sum of doubles depends on the order of rows
+        sums = sorted(bucketed.groupBy("bucket").agg(F.sum(F.col("wanted").cast("decimal(28,6)")), F.sum("blocks")).collect())
+        of_buckets, total = np.array([float(r[1]) for r in sums]), int(sum(r[1] for r in sums))
+        shards = max(1, min(most_shards, SHARDS_OF_MANY, 200_000 // len(sums), total // shard_slots))
+        counts = draw(of_buckets, MOST * np.array([r[2] for r in sums], dtype=np.int64), shards, seed)
+        shared = self.rows.sparkSession.sparkContext.broadcast(counts)
+        return bucketed.groupBy("bucket").applyInArrow(_plan_of_bucket(shared, seed, FEW), PLAN), total
 
     def _small(self, table: DataFrame) -> DataFrame:
         """A table with a row per source: broadcast if these are few."""
-        return F.broadcast(table) if self.n_sources <= 100_000 else table
+        return F.broadcast(table) if self.few else table
 
     @property
     def spans(self) -> DataFrame:

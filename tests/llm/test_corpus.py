@@ -362,6 +362,31 @@ def test_draws():
     assert abs(first.var() - 25) < 8
 
 
+@pytest.mark.parametrize("weights", [(1, 2, 3), (0.5, 1)])
+def test_many_sources_are_planned_by_tasks(spark, monkeypatch, weights):
+    rng = np.random.default_rng(8)
+    data = [(i, " ".join("w" for _ in range(int(rng.integers(0, 30 + 2 * (i % 97) ** 2)))), None if i % 97 == 0 else f"s{i % 97}é") for i in range(1500)] + [(9000, None, "z"), (9001, " ", "z")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    here = mixing.Mixture(df, weights=weights)
+    of = {r.source: (r.source_at, r.source_size, r.target, r.blocks) for r in here.sources.collect()}
+    monkeypatch.setattr(mixing, "FEW", 10)
+    monkeypatch.setattr(mixing, "targets_of", None)
+    plan = mixing.Mixture(df, weights=weights)
+    assert {r.source: (r.source_at, r.source_size, r.target, r.blocks) for r in plan.sources.collect()} == of
+    taken, seen = Counter(), Counter()
+    for r in plan.slots.collect():
+        seen[r.source_at, r.slot] += 1
+        taken[r.source_at] += 1
+    assert max(seen.values()) == 1 and max(taken.values()) > 20
+    wanted = {at: target * blocks / max(1, size) for at, size, target, blocks in of.values()}
+    assert all(n <= 3 * blocks and abs(n - wanted[at]) <= 4 + 0.2 * wanted[at] for at, _, _, blocks in of.values() for n in [taken[at]])
+    assert abs(sum(taken.values()) - sum(wanted.values())) <= 1
+    rows = mixing.Mixture(df, weights=weights).taken().collect()
+    assert len(rows) == len(data) and all(r.taken <= 3 * r.size for r in rows)
+    assert {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in mixing.Mixture(df.repartition(7), weights=weights).taken().collect()}
+    assert {r.source_at for r in plan.sources.where("source IS NULL").collect()} == {len(of) - 1}
+
+
 def test_taken_is_what_the_slots_take(corpus):
     plan = mixing.Mixture(corpus, block_words=16)
     size = {r.row: r.size for r in plan.sized.collect()}
