@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from loomframe.errors import LoomError
 
 #: Words are maximal runs of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch while a table is written.
+BATCH = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,15 +41,18 @@ def _folder(spark: SparkSession):
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back. One pass, and the lineage ends there, so a lost
-    executor costs no more than the reading tasks. The shuffles it took are deleted when it is written."""
-    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    executor costs no more than the reading tasks. The shuffles it took are deleted when it is written. Python workers get
+    small Arrow batches, as both sides hold a batch."""
+    spark, settings = df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": BATCH}
     folder = _folder(spark)
-    path, before = f"{folder.toString()}/{name}-{uuid.uuid4().hex}", spark.conf.get(cleanup, None)
-    spark.conf.set(cleanup, "true")
+    path, before = f"{folder.toString()}/{name}-{uuid.uuid4().hex}", {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -91,6 +98,25 @@ def chunks(batch: pa.RecordBatch, text_at: int, most_bytes: int = 2_000_000):
         total, start = int(ends[stop - 1]), stop
 
 
+def release() -> None:
+    """Give freed memory back to the system: allocators of Arrow and C keep it, and Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library than glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, for mapInArrow, with a worker that waits for its next task in as little memory as it can."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over uint64: a counter-based source of pseudorandom bits."""
     with np.errstate(over="ignore"):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import drop_table, materialize
+from loomframe.llm.common import drop_table, materialize, tidy
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +59,9 @@ def components(links: DataFrame) -> DataFrame:
     two joins with partial minima; hot nodes are left to the skew handling of joins. The rounds needed grow with the
     logarithm of the number of nodes.
     """
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_contract, "a long, b long").distinct(), "links")
+    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(tidy(_contract), "a long, b long").distinct(), "links")
     if edges.count() <= FEW:
-        return edges.coalesce(1).mapInArrow(_contract, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return edges.coalesce(1).mapInArrow(tidy(_contract), "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component"))
     seen = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

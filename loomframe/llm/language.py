@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.errors import LoomError
-from loomframe.llm.common import chunks, id_remainder, mixed
+from loomframe.llm.common import chunks, id_remainder, mixed, tidy
 
 DIMENSIONS = 512
 UNKNOWN = "und"
@@ -136,7 +136,7 @@ class LanguageModel:
         """From all rows with a text and a language. What reaches the driver is one vector per language; a column of more
         than most_langs values is no language, and an error."""
         known = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-        sums = known.mapInArrow(_profile, "lang string, dimension int, value long").groupBy("lang", "dimension").agg(F.sum("value").alias("value"))
+        sums = known.mapInArrow(tidy(_profile), "lang string, dimension int, value long").groupBy("lang", "dimension").agg(F.sum("value").alias("value"))
         found = sums.limit(most_langs * DIMENSIONS + 1).toArrow()
         if found.num_rows > most_langs * DIMENSIONS:
             raise LoomError(f"'{lang_col}' has more than {most_langs} values")
@@ -182,7 +182,7 @@ def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text", leas
                 names, scores = own.predict([t or "" for t in b.column(at).to_pylist()], least)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

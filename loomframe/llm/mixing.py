@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import WORD, chunks, materialize, mixed, numbered_columns
+from loomframe.llm.common import WORD, chunks, materialize, mixed, numbered_columns, tidy
 
 #: No document is taken more often than this.
 MOST = 3
@@ -179,7 +179,7 @@ class Mixture:
         plan, total = self._planned_here(found, weights, shard_slots, most_shards, seed) if self.few else self._planned_by_tasks(by_source, weights, shard_slots, most_shards, seed)
         self.sized = sized.join(self._small(self.sources.select("source_at", F.col("source").alias("of"))), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
         parts = max(1, total // 200_000 + 1)
-        self.slots = plan.repartition(parts, *(["shard"] if self.few else ["shard", "source_at"])).mapInArrow(_slots(seed), SLOTS)
+        self.slots = plan.repartition(parts, *(["shard"] if self.few else ["shard", "source_at"])).mapInArrow(tidy(_slots(seed)), SLOTS)
 
     def _planned_here(self, found: pa.Table, weights, shard_slots: int, most_shards: int, seed: int) -> tuple[DataFrame, int]:
         """The plan and its number of slots; sets sources."""
@@ -257,7 +257,7 @@ class Mixture:
         columns = self.rows.columns[: len(self.names)]
         joined = self.rows.join(runs, "row").select(*columns, "size", "uses")
         chars_at = self.names.index(chars_col) if chars_col in self.names else None
-        return joined.mapInArrow(_cut(self.text_at, chars_at), self.rows.select(*columns).schema).toDF(*self.names)
+        return joined.mapInArrow(tidy(_cut(self.text_at, chars_at)), self.rows.select(*columns).schema).toDF(*self.names)
 
 
 def runs_of(uses: list[tuple[int, int, int]]) -> list[tuple[int, int]]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import chunks, folded_words_of, materialize
+from loomframe.llm.common import chunks, folded_words_of, materialize, tidy
 from loomframe.llm.components import components, forest
 
 HALF, MOST_BITS = 16, 2
@@ -171,7 +171,7 @@ def links_of(reps: DataFrame) -> DataFrame:
         halves = halves.join(F.broadcast(hot), "half", "left").select(F.explode(F.when(F.col("hot"), variants).otherwise(F.array(F.lit(0).cast("long")))).alias("variant"), "half", "fp", "rep")
         base = base + F.col("variant")
     dealt = halves.select(base.alias("key"), "fp", "rep").repartition(rows.n // INDEXED + 1, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_near(CROWD), "a long, b long")
+    return dealt.mapInArrow(tidy(_near(CROWD)), "a long, b long")
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

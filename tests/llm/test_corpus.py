@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -203,6 +204,28 @@ def test_near_copies_of_given_tables(spark):
     assert {r.doc_id for r in near.deduplicate(docs).collect()} == brute_near(docs.select("doc_id", "text").orderBy("doc_id").collect())[0]
 
 
+def test_workers_take_little_memory(spark, monkeypatch):
+    """Small batches while a table is written, nothing kept after a task, and one Python step in a task."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    wide = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    got = [r.bytes for r in common.materialize(wide.mapInArrow(sizes, "bytes long"), "sizes").collect()]
+    assert sum(got) >= 20_000_000 and max(got) < 8_000_000 and spark.conf.get(key) == before
+    released = []
+    monkeypatch.setattr(common, "release", lambda: released.append(1))
+    assert list(common.tidy(lambda batches: (b for b in batches))(iter([1, 2]))) == [1, 2] and released
+    plans = []
+    monkeypatch.setattr(near, "components", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or components.components(links))
+    reps = spark.createDataFrame([(1, 7), (2, 6), (3, 1 << 40 | 0xFFF)], "set long, fp long")
+    assert {tuple(sorted(r)) for r in near._by_fingerprint(reps).collect()} == {(1, 2)}
+    assert len(plans) == 1 and "Python" not in plans[0] and "InArrow" not in plans[0]
+
+
 @pytest.mark.parametrize("few", [0, 1_000_000])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr(components, "FEW", few)
