@@ -12,6 +12,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 SPACE = "▁"
@@ -47,11 +48,8 @@ class Vocabulary:
                     node = children[node][c]
                 ids[node] = i
                 self.longest = max(self.longest, len(piece))
-        self.spaced = [p.replace(SPACE, " ") for p in pieces]
-        self.is_byte = np.zeros(len(pieces), dtype=bool)
-        self.is_byte[list(self.bytes_by_id)] = True
-        self.byte_value = np.zeros(len(pieces), dtype=np.uint8)
-        self.byte_value[list(self.bytes_by_id)] = list(self.bytes_by_id.values())
+        #: What each piece stands for in UTF-8; a byte piece is one byte of it.
+        self.utf8 = pa.array([bytes([self.bytes_by_id[i]]) if i in self.bytes_by_id else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(pieces)], pa.binary())
         self.piece_at = np.array(ids, dtype=np.int32)
         self.first = np.full(0x110000, -1, dtype=np.int32)
         for c, node in children[0].items():
@@ -163,32 +161,33 @@ class Lattice:
         self.rank_of = rank_of
         self.arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.weights: list[np.ndarray] = []
-        at = np.flatnonzero(self.lengths[rank_of] > step) if self.nodes else np.zeros(0, dtype=np.int64)
+        left = self.lengths[rank_of] - step if self.nodes else np.zeros(0, dtype=np.int64)
+        #: the node one character further
+        after = self.offset[step + 1] + rank_of if self.nodes else rank_of
+        at = here = np.flatnonzero(left > 0)
+        left = left[at]
         node = vocab.first[self.char[at]]
         single = np.zeros(self.nodes, dtype=bool)
         for k in range(vocab.longest):
             if k:
-                s = step[at] + k
-                inside = self.lengths[rank_of[at]] > s
-                at, node, s = at[inside], node[inside], s[inside]
-                node = vocab.step(node, self.char[self.offset[s] + rank_of[at]])
-            good = node >= 0
-            at, node = at[good], node[good]
-            if not len(at):
+                inside = np.flatnonzero((node >= 0) & (left > k))
+                at, node, left, here = at[inside], node[inside], left[inside], after[here[inside]]
+                node = vocab.step(node, self.char[here])
+            if not (node >= 0).any():
                 break
-            piece = vocab.piece_at[node]
-            hit = piece >= 0
-            start, piece = at[hit], piece[hit].astype(np.int64)
-            w = weights[piece]
+            hit = np.flatnonzero((node >= 0) & (vocab.piece_at[node] >= 0))
+            start, piece = at[hit], vocab.piece_at[node[hit]].astype(np.int64)
+            end, w = after[here[hit]], weights[piece]
             if not k:
                 single[start] = True
-                rest = np.flatnonzero((self.lengths[rank_of] > step) & ~single)
+                rest = at[~single[at]]
                 if len(rest):
                     chars = self.char[rest].astype(np.int64)
                     start, piece, w = np.concatenate([start, rest]), np.concatenate([piece, -1 - chars]), np.concatenate([w, vocab.byte_weights(chars, weights)])
                     by = np.argsort(start, kind="stable")
                     start, piece, w = start[by], piece[by], w[by]
-            self.arcs.append((start, self.offset[step[start] + k + 1] + rank_of[start], piece))
+                    end = after[start]
+            self.arcs.append((start, end, piece))
             self.weights.append(w)
         if not self.arcs and self.nodes:  # no character is a piece
             rest = np.flatnonzero(self.lengths[rank_of] > step)

@@ -60,7 +60,6 @@ class Units:
         for name, kind in kinds.items():
             setattr(self, name, np.zeros(1024, dtype=kind))
         self._kept: dict[str, int] | None = None
-        self._passing: list[str] = []
 
     def _append(self, name: str, values: np.ndarray) -> None:
         old, n = getattr(self, name), self.sizes[name]
@@ -75,21 +74,21 @@ class Units:
     def numbers(self, texts: list[list[str]]) -> np.ndarray:
         """The numbers of all units of the texts, end to end. Those not met before are added."""
         if self._kept is not None:
-            for u in self._passing:
-                del self.at[u]
             self.sizes = dict(self._kept)
-            self._passing = []
         elif self.sizes["log"] > self.most_arcs:
             self._kept = dict(self.sizes)
         flat = list(chain.from_iterable(texts))
         got = np.fromiter(map(self.at.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        open_ = np.flatnonzero(got < 0).tolist()
-        if open_:
-            new = list(dict.fromkeys(flat[i] for i in open_))
+        open_ = np.flatnonzero(got < 0)
+        if len(open_):
+            missing = [flat[i] for i in open_.tolist()]
+            first, at = len(self.at), dict.fromkeys(missing)
+            new = list(at)
+            at = dict(zip(new, range(first, first + len(new)), strict=True))
             self._add(new)
-            if self._kept is not None:
-                self._passing = new
-            got[open_] = [self.at[flat[i]] for i in open_]
+            if self._kept is None:
+                self.at |= at
+            got[open_] = list(map(at.__getitem__, missing))
         return got
 
     def _add(self, new: list[str]) -> None:
@@ -120,13 +119,11 @@ class Units:
             self._append("rest", np.where(own >= 1.0 - 1e-15, -np.inf, np.log1p(-own)))
         self._append("next", np.where(inner[end], state[end], -1))
         self._append("piece", piece.astype(np.int32))
-        for i, u in enumerate(new, start=len(self.at)):
-            self.at[u] = i
 
     def walk(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw arcs from every state to the end of its unit. Returns the arcs, those of one start together and in order,
         and how many each start has. key: the source of randomness of each start."""
-        who, steps, arcs, starts = np.arange(len(state)), [], [], []
+        who, arcs, starts = np.arange(len(state)), [], []
         n = np.zeros(len(state), dtype=np.int64)
         turn = 0
         state, key = state.copy(), key.copy()
@@ -141,7 +138,6 @@ class Units:
                 far = far[u[far] > self.upto[arc[far]]]
             arcs.append(arc)
             starts.append(who)
-            steps.append(np.full(len(who), turn))
             n[who] += 1
             state = self.next[arc]
             live = state >= 0
@@ -149,7 +145,7 @@ class Units:
             turn += 1
         out = np.zeros(int(n.sum()), dtype=np.int64)
         offset = np.cumsum(n) - n
-        for who, step, arc in zip(starts, steps, arcs, strict=True):
+        for step, (who, arc) in enumerate(zip(starts, arcs, strict=True)):
             out[offset[who] + step] = arc
         return out, n
 
@@ -173,22 +169,6 @@ class _Search:
         """Numbers of the text's own for n draws."""
         return np.uint64(mixed_one(int(self.key) + salt)) + np.arange(n, dtype=np.uint64)
 
-    def seeds(self, salt: int, n: int) -> np.ndarray:
-        """Numbers for n draws that take many steps each."""
-        return mixed(self.counters(salt, n)) << np.uint64(12)
-
-    def accept(self, path: np.ndarray, unit: np.ndarray, fixed: int, bound: float, nth: int) -> None:
-        """A new result; sets leave it from place `fixed` on."""
-        log = self.units.log[path]
-        before = np.cumsum(log) - log
-        rest = before + self.units.rest[path]
-        rest[:fixed] = -np.inf
-        at = np.flatnonzero(rest > -np.inf)
-        bounds = np.full(len(path), -np.inf)
-        bounds[at] = truncated(rest[at], bound, uniforms(self.counters(4 * nth + 1, len(path))[at]))
-        self.results.append((path, float(log.sum()), bound))
-        self.sets.append([bounds, path, unit, before, {}])
-
     def leave(self) -> tuple[int, int, float] | None:
         """The set with the greatest bound: number of the result it leaves, place, bound."""
         best = None
@@ -220,6 +200,35 @@ class _Search:
         return list(range(int(self.units.first[state]), int(self.units.first[state + 1])))
 
 
+def places(ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each element's place in its part, for parts of these lengths that end there."""
+    return (np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.uint64)
+
+
+def accept(units: Units, found: list[tuple[_Search, np.ndarray, np.ndarray, int, float]], nth: int) -> None:
+    """New results, of one text each: its search, path, unit, the place from which on sets leave it, bound."""
+    lengths = np.array([len(path) for _, path, *_ in found])
+    ends = np.cumsum(lengths)
+    paths = np.concatenate([path for _, path, *_ in found])
+    log, rest = units.log[paths], units.rest[paths]
+    before = np.empty(len(paths))
+    spans = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
+    for (i, j), (_, _, _, fixed, _) in zip(spans, found, strict=True):
+        np.cumsum(log[i:j], out=before[i:j])
+        rest[i : i + fixed] = -np.inf
+    before -= log
+    rest += before
+    at = np.flatnonzero(rest > -np.inf)
+    first = np.array([mixed_one(int(s.key) + 4 * nth + 1) for s, *_ in found], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        counters = (np.repeat(first, lengths) + places(ends, lengths))[at]
+    bounds = np.full(len(paths), -np.inf)
+    bounds[at] = truncated(rest[at], np.repeat([bound for *_, bound in found], lengths)[at], uniforms(counters))
+    for (i, j), (s, path, unit, _, bound) in zip(spans, found, strict=True):
+        s.results.append((path, float(log[i:j].sum()), bound))
+        s.sets.append([bounds[i:j], path, unit, before[i:j], {}])
+
+
 def sample(units: Units, texts: list[list[str]], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k different segmentations, the greatest perturbed log probability first: piece numbers (below 0: a
     character in bytes), log probability, perturbed log probability, and the probability that the segmentation is among
@@ -227,10 +236,12 @@ def sample(units: Units, texts: list[list[str]], keys: np.ndarray, k: int) -> li
     numbers = units.numbers(texts)
     ends = np.cumsum([len(t) for t in texts])
     searches = [_Search(units, own, key) for own, key in zip(np.split(numbers, ends[:-1]) if len(texts) else [], keys, strict=True)]
-    heads = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), -1, 0, float(-np.log(-np.log(uniforms(s.counters(0, 1))[0])))) for s in searches]
+    none = np.zeros(0, dtype=np.int64)
+    tops = -np.log(-np.log(uniforms(np.array([mixed_one(int(s.key)) for s in searches], dtype=np.uint64))))
+    heads = [(none, none, -1, 0, top) for top in tops.tolist()]
     for nth in range(k):
         # where each text's next result goes on by free choice: inside the unit it has left, then at the units after it
-        states, seeds, spans = [], [], []
+        states, seeds, spans = [], [], []  # seeds: of the first draw
         for s, head in zip(searches, heads, strict=True):
             if head is None:
                 spans.append(0)
@@ -239,24 +250,29 @@ def sample(units: Units, texts: list[list[str]], keys: np.ndarray, k: int) -> li
             first = units.next[path[-1]] if len(path) else -1
             own = np.append(first, units.root[s.numbers[unit + 1 :]])
             states.append(own)
-            seeds.append(s.seeds(4 * nth + 3, len(s.numbers) + 1)[-len(own) :])
+            seeds.append(mixed_one(int(s.key) + 4 * nth + 3) + len(s.numbers) + 1 - len(own) & 0xFFFFFFFFFFFFFFFF)
             spans.append(len(own))
         if not states:
             break
-        arcs, counts = units.walk(np.concatenate(states), np.concatenate(seeds))
-        upto, at, done = np.cumsum(counts), 0, 0
-        for i, (s, head, n) in enumerate(zip(searches, heads, spans, strict=True)):
+        lengths = np.array([n for n in spans if n])
+        with np.errstate(over="ignore"):
+            counters = np.repeat(np.array(seeds, dtype=np.uint64), lengths) + places(np.cumsum(lengths), lengths)
+        arcs, counts = units.walk(np.concatenate(states), mixed(counters) << np.uint64(12))  # a draw takes many steps
+        upto, at, done, found = np.cumsum(counts), 0, 0, []
+        for s, head, n in zip(searches, heads, spans, strict=True):
             if head is None:
                 continue
             path, where, unit, fixed, bound = head
             stop = int(upto[at + n - 1])
             tail = arcs[done:stop]
             tail_unit = np.repeat(np.arange(unit, unit + n), counts[at : at + n])
-            s.accept(np.concatenate([path, tail]), np.concatenate([where, tail_unit]), fixed, bound, nth)
+            found.append((s, np.concatenate([path, tail]), np.concatenate([where, tail_unit]), fixed, bound))
             at, done = at + n, stop
-            best = s.leave()
+        accept(units, found, nth)
+        for i, (s, head) in enumerate(zip(searches, heads, strict=True)):
             heads[i] = None
-            if best is not None and nth + 1 < k:
+            best = s.leave() if head is not None and nth + 1 < k else None
+            if best is not None:
                 which, place, bound = best
                 unit_before = s.sets[which][2][:place]
                 path, unit = s.turn(which, place, bound, nth)
@@ -273,28 +289,33 @@ def sample(units: Units, texts: list[list[str]], keys: np.ndarray, k: int) -> li
     return out
 
 
-def spell(vocab, pieces: np.ndarray) -> np.ndarray:
-    """Piece ids, with characters below 0 spelled in byte pieces."""
+def spell(vocab, pieces: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of texts that end at `ends`, with characters below 0 spelled in byte pieces, and where they end then."""
     odd = np.flatnonzero(pieces < 0)
     if not len(odd):
-        return pieces
-    parts, last = [], 0
-    for i in odd.tolist():
-        parts += [pieces[last:i], np.array(vocab.spelled(-1 - int(pieces[i])), dtype=np.int32)]
-        last = i + 1
-    return np.concatenate([*parts, pieces[last:]])
-
-
-def decode(vocab, ids: np.ndarray) -> str:
-    """The text of piece ids, with the space that encoding puts in front taken off."""
-    parts = list(map(vocab.spaced.__getitem__, ids.tolist()))
-    odd = np.flatnonzero(vocab.is_byte[ids])
-    if len(odd):
-        # a run of bytes is one character or more
-        gaps = np.flatnonzero(np.diff(odd) > 1)
-        for i, j in zip(odd[np.append(0, gaps + 1)].tolist(), (odd[np.append(gaps, len(odd) - 1)] + 1).tolist(), strict=True):
-            parts[i:j] = [vocab.byte_value[ids[i:j]].tobytes().decode("utf-8", "surrogatepass"), *[""] * (j - i - 1)]
-    return "".join(parts)[1:]
+        return pieces, ends
+    kinds, which = np.unique(-1 - pieces[odd], return_inverse=True)
+    spelled = [vocab.spelled(c) for c in kinds.tolist()]
+    lengths = np.array([len(s) for s in spelled])[which]
+    times = np.ones(len(pieces), dtype=np.int64)
+    times[odd] = lengths
+    after = np.append(0, np.cumsum(times))
+    out = np.repeat(pieces, times)
+    table = np.array([s + [0] * (4 - len(s)) for s in spelled], dtype=out.dtype)
+    for k in range(4):
+        own = np.flatnonzero(lengths > k)
+        out[after[odd[own]] + k] = table[which[own], k]
+    return out, after[ends]
+
+
+def decode(vocab, ids: pa.Array, ends: np.ndarray) -> list[str]:
+    """The texts of piece ids that lie between `ends`, with the space that encoding puts in front taken off."""
+    if not len(ids):
+        return [""] * (len(ends) - 1)
+    joined = vocab.utf8.take(ids)
+    at = np.frombuffer(joined.buffers()[1], dtype=np.int32)[ends].tolist()
+    data = memoryview(joined.buffers()[2])
+    return [str(data[i:j], "utf-8", "surrogatepass")[1:] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 @lru_cache(1)
@@ -316,18 +337,17 @@ def _encode(shipped, k: int, seed: int, most_bytes: int = 200_000):
                 rows, nth, ids, ends, logp, perturbed, inclusion = [], [], [], [0], [], [], []
                 for i, own in enumerate(sample(units, [units_of(t) for t in texts], keys, k)):
                     for j, (pieces, lp, g, q) in enumerate(own):
-                        spelled = spell(vocab, pieces)
-                        ids.append(spelled)
-                        ends.append(ends[-1] + len(spelled))
+                        ids.append(pieces)
+                        ends.append(ends[-1] + len(pieces))
                         rows.append(i)
                         nth.append(j)
                         logp.append(lp)
                         perturbed.append(g)
                         inclusion.append(q)
-                flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, dtype=np.int32))
+                flat, ends = spell(vocab, np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, dtype=np.int32), np.array(ends))
                 picked = b.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*picked.columns[1:], pa.array(nth, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), *(pa.array(x, pa.float64()) for x in (logp, perturbed, inclusion))],
+                    [*picked.columns[1:], pa.array(nth, pa.int32()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), *(pa.array(x, pa.float64()) for x in (logp, perturbed, inclusion))],
                     names=[*b.schema.names[1:], "sample", "pieces", "logp", "perturbed", "inclusion"],
                 )
 
@@ -364,12 +384,10 @@ def _verify(shipped):
         vocab = vocabulary(names, controls)
         for big in batches:
             for b in chunks(big, 0, 1_000_000):
-                decoded, hashed = [], []
-                flat, ends = b.column(3).values.to_numpy(), b.column(3).offsets.to_pylist()
-                for i, j in zip(ends[:-1], ends[1:], strict=True):
-                    own = flat[i:j]
-                    decoded.append(decode(vocab, own))
-                    hashed.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
+                pieces, ends = b.column(3).values, b.column(3).offsets.to_numpy()
+                flat = pieces.to_numpy().astype("<i4", copy=False)
+                decoded = decode(vocab, pieces, ends)
+                hashed = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 texts = [t or "" for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(hashed), pa.array([x == t for x, t in zip(decoded, texts, strict=True)]), b.column(2), *b.columns[4:]],

@@ -781,6 +781,20 @@ def test_round_trip(odd, none):
     assert sampling.encode(none, queries.PIECES).columns == ["doc_id", "sample", "pieces", "logp", "perturbed", "inclusion"]
 
 
+def test_texts_are_spelled_and_decoded_by_batches(vocab):
+    pieces = vocab[0] if isinstance(vocab, tuple) else vocab
+    plain = next(i for i, p in enumerate(pieces.pieces) if p == lattice.SPACE)
+    word = next(i for i, p in enumerate(pieces.pieces) if p == lattice.SPACE + "the")
+    rows, want = [[plain, -1 - ord("é"), -1 - ord("é")], [], [word, -1 - lattice.MARK, word], [plain, -1 - 0x1F600]], ["éé", "", "the▁ the", "\U0001f600"]
+    flat, ends = np.array([x for r in rows for x in r], dtype=np.int32), np.append(0, np.cumsum([len(r) for r in rows]))
+    ids, after = sampling.spell(pieces, flat, ends)
+    assert [ids[i:j].tolist() for i, j in zip(after[:-1], after[1:])] == [[y for x in r for y in (pieces.spelled(-1 - x) if x < 0 else [x])] for r in rows]
+    assert sampling.decode(pieces, pa.array(ids), after) == want
+    same, unmoved = sampling.spell(pieces, flat[:1], np.array([0, 1]))
+    assert same.tolist() == [plain] and unmoved.tolist() == [0, 1]
+    assert sampling.decode(pieces, pa.array([], pa.int32()), np.array([0, 0, 0])) == ["", ""]
+
+
 def test_units_that_pass_are_forgotten(vocab):
     v, w, _ = vocab
     small, large = sampling.Units(v, w, most_arcs=50), sampling.Units(v, w)
