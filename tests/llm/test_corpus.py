@@ -192,6 +192,52 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, sampled):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == wanted
 
 
+@pytest.mark.parametrize("block", [100_000, 1_000_000])
+def test_near_copies_in_a_large_group(spark, monkeypatch, block):
+    """The tables in between grow with the members of a group, not with its pairs, where most members are near to none."""
+    rng = np.random.default_rng(5)
+    own = [f"w{i}" for i in range(1200)]
+    texts = [own]
+    for i in range(120):
+        copy = list(own)
+        for at in rng.choice(1200, 10 if i % 6 == 0 else 30, replace=False):
+            copy[at] = f"c{i}"
+        texts.append(copy)
+    docs = documents(spark, *map(" ".join, texts))
+    wanted, links = brute_near(sorted(docs.collect(), key=lambda r: r.doc_id))
+    counts = {}
+
+    def counted(df, name):
+        out = common.materialize(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near, "materialize", counted)
+    monkeypatch.setattr(near, "SAMPLED", 1 << 40)  # no shingle is known to be common, so that prefixes are short
+    monkeypatch.setattr(near, "BLOCK", block, raising=False)
+    assert {r.doc_id for r in near.deduplicate(docs).collect()} == wanted
+    assert links >= 20 and 90 <= len(wanted) <= 110
+    # the index has 20 rows of a set at most, and each may have one pair besides
+    assert max(counts.values()) <= 2 * 20 * len(texts), counts
+
+
+@pytest.mark.parametrize("percent, pairs", [(50, 3), (80, 50), (80, 200_000), (100, 50)])
+def test_links_of_components(monkeypatch, percent, pairs):
+    monkeypatch.setattr(near, "PAIRS", pairs)
+    rng = np.random.default_rng(percent + pairs)
+    for _ in range(40):
+        bases = [rng.integers(0, 1_000_000, rng.integers(1, 60)) for _ in range(3)]
+        sets = [set(rng.permutation(bases[rng.integers(3)])[rng.integers(0, 8) :].tolist()) | set(rng.integers(0, 40, rng.integers(1, 6)).tolist()) for _ in range(rng.integers(1, 40))]
+        component = rng.integers(0, rng.integers(1, len(sets) + 1), len(sets)) * 1000
+        near_by = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+        found = near.linked(component, np.concatenate([np.array(sorted(s)) for s in sets]), np.array([len(s) for s in sets]), percent)
+        assert all(near_by(a, b) for a, b in found)
+        joined = {tuple(sorted(x)) for x in found}
+        wanted = brute_components(len(sets), lambda a, b: component[a] == component[b] or near_by(a, b))
+        assert brute_components(len(sets), lambda a, b: component[a] == component[b] or (min(a, b), max(a, b)) in joined) == wanted
+        assert len(found) == len(set(component.tolist())) - len(set(wanted))
+
+
 def test_near_copies_with_repeated_ids(spark):
     import corpus_pipeline
 
