@@ -6,6 +6,8 @@ Every method adds a column ({c}_infer, or {c}_infer_01 and so on where that is t
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -177,25 +179,47 @@ def _cells(asked: DataFrame, n_asked: int, rows: DataFrame, n_rows: int, block:
     blocks. Both frames have a column id."""
     p, q = max(1, -(-n_asked // block)), max(1, -(-n_rows // (10 * block)))
     deal = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64("id"), F.lit(n)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # else columns that both have may be pruned on this side
     a, b = deal(asked, "p", p, "q", q), deal(rows, "q", q, "p", p)
     return a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(run, schema)
 
 
-def _nearest(metric: str, k: int, shape: list[str]):
+#: Distances that a task of knn holds at once.
+_CELLS = 500_000
+
+
+def _smallest(d: np.ndarray, m: int) -> np.ndarray:
+    """Places of the m smallest of each row (or all, where there are fewer), in order; of equal ones the first."""
+    if d.shape[1] <= m:
+        return np.argsort(d, axis=1, kind="stable")
+    kth = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
+    less, equal = d < kth, d == kth
+    kept = less | equal & (np.cumsum(equal, axis=1) <= m - less.sum(axis=1, keepdims=True))
+    at = np.nonzero(kept)[1].reshape(-1, m)
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _nearest(metric: str, m: int, shape: list[str], part: int = 2000):
     def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        ids, own, other = asked["id"].to_numpy(), asked[shape].to_numpy(dtype=float), rows["id"].to_numpy()
-        columns = rows[shape].to_numpy(dtype=float)
-        held = pd.DataFrame({"q": [], "d": [], "r": [], "v": []}, dtype=float)
-        for start in range(0, len(rows), 2000):
-            part = slice(start, start + 2000)
-            d = _distances(own, columns[part], metric)
-            d[ids[:, None] == other[part][None, :]] = np.inf
-            if d.shape[1] > k:  # what is behind the k-th distance can't be among the nearest
-                d[d > np.partition(d, k - 1, axis=1)[:, k - 1 : k]] = np.inf
+        if asked.empty or rows.empty:  # such frames have no columns
+            return pd.DataFrame({c: [] for c in [*shape, "d", "r", "v"]}, dtype=float)
+        rows = rows.sort_values("id")
+        own, all_, out = asked[shape].to_numpy(dtype=float), rows[shape].to_numpy(dtype=float), []
+        step = max(1, _CELLS // (min(part, len(rows)) + m))
+        for first in range(0, len(asked), step):
+            a = own[first : first + step]
+            d, at = np.zeros((len(a), 0)), np.zeros((len(a), 0), dtype=np.int64)
+            for start in range(0, len(rows), part):  # by rising id, so that places settle ties
+                new = _distances(a, all_[start : start + part], metric)
+                new[~np.isfinite(new)] = np.inf
+                d = np.concatenate([d, new], axis=1)
+                at = np.concatenate([at, np.broadcast_to(np.arange(start, start + new.shape[1]), new.shape)], axis=1)
+                best = _smallest(d, m)
+                d, at = np.take_along_axis(d, best, axis=1), np.take_along_axis(at, best, axis=1)
             i, j = np.nonzero(np.isfinite(d))
-            new = pd.DataFrame({"q": ids[i], "d": d[i, j], "r": other[part][j], "v": rows["v"].to_numpy()[part][j]}, dtype=float)
-            held = pd.concat([held, new]).sort_values(["q", "d", "r"]).groupby("q").head(k)
-        return held
+            taken = rows.iloc[at[i, j]]
+            out.append(pd.DataFrame({**dict(zip(shape, a[i].T, strict=True)), "d": d[i, j], "r": taken["id"].to_numpy(), "v": taken["v"].to_numpy()}, dtype=float))
+        return pd.concat(out)
 
     return run
 
@@ -205,8 +229,9 @@ def knn(df: DataFrame, columns: Sequence[str], k: int = 5, weights: str = "unifo
     imputed columns alone). Neighbours are ordered by distance, then by order_by, and counted before those without a
     value drop out; if none has one, the result stays NULL. weights: uniform, or distance (1 / (d + 1e-10)).
 
-    Rows with a gap meet all rows block by block, in tasks of bounded size; each keeps the k nearest of its block, and the
-    best k of those are merged. The work is rows x gaps."""
+    Rows with the same features are at the same distance from any other, so each different vector of a gap is asked for once,
+    and of rows with the same features the first k + 1 take part. Both meet block by block, in tasks of bounded size; each
+    keeps the nearest of its block, and the best of those are merged. The work is the product of different vectors."""
     columns = list(columns)
     numeric(df, columns)
     if weights not in ("uniform", "distance") or metric not in ("euclidean", "manhattan", "cosine"):
@@ -224,19 +249,28 @@ def knn(df: DataFrame, columns: Sequence[str], k: int = 5, weights: str = "unifo
             raise LoomError(f"column '{c}' has no value at all")
         if not 0 < k < state.n:
             raise LoomError(f"k must be between 1 and {state.n - 1}")
-    base = df.select(quoted(order_by).cast("double").alias("id"), *[quoted(x).cast("double").alias(f"f{i}") for i, x in enumerate(features)], *[quoted(x).cast("double").alias(f"v{i}") for i, x in enumerate(columns)])
-    shape = [f"f{i}" for i in range(len(features))]
+    # without features all rows are at distance 0
+    own = {f"f{i}": F.nanvl(quoted(x).cast("double"), F.lit(None)) for i, x in enumerate(features)} or {"f0": F.lit(None).cast("double")}
+    shape, at = list(own), quoted(order_by).cast("double")
+    base = df.select(at.alias("id"), *[x.alias(f) for f, x in own.items()], *[quoted(x).cast("double").alias(f"v{i}") for i, x in enumerate(columns)])
+    first = Window.partitionBy(*shape).orderBy(F.col("id").asc_nulls_last())
     for i, c in enumerate(columns):
         out, missing = (names or {}).get(c) or new_name(df, c), state.n - state[f"seen{i}"]
         if not missing:
             df = df.withColumn(out, quoted(c).cast("double"))
             continue
-        gaps, rows = base.where(F.col(f"v{i}").isNull()).select("id", *shape), base.select("id", *shape, F.col(f"v{i}").alias("v"))
-        near = _cells(gaps, missing, rows, state.n, block, _nearest(metric, k, shape), "q double, d double, r double, v double")
-        best = near.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "r"))).where((F.col("nth") <= k) & F.col("v").isNotNull() & ~F.isnan("v"))
-        w = F.lit(1.0) if weights == "uniform" else 1.0 / (F.col("d") + 1e-10)
-        filled = best.groupBy(F.col("q").alias("__q")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("__value"))
-        df = df.join(filled, quoted(order_by).cast("double") == F.col("__q"), "left").withColumn(out, F.coalesce(quoted(c).cast("double"), "__value")).drop("__q", "__value")
+        gaps = base.where(F.col(f"v{i}").isNull()).select(*shape).distinct().withColumn("id", F.xxhash64(*shape))
+        rows = base.select("id", *shape, F.col(f"v{i}").alias("v")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth")
+        n_gaps, n_rows = (gaps.count(), rows.count()) if missing > block or state.n > 10 * block else (missing, state.n)
+        near = _cells(gaps, n_gaps, rows, n_rows, block, _nearest(metric, k + 1, shape), ", ".join(f"{x} double" for x in [*shape, "d", "r", "v"]))
+        best = near.groupBy(*[F.col(f).alias(f"__{f}") for f in shape]).agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "r", "v"))), 1, k + 1).alias("__near"))
+        same = reduce(and_, [x.eqNullSafe(F.col(f"__{f}")) for f, x in own.items()], quoted(c).isNull())
+        others = F.slice(F.filter("__near", lambda x: ~x["r"].eqNullSafe(at)), 1, k)
+        used = F.filter(others, lambda x: x["v"].isNotNull() & ~F.isnan(x["v"]))
+        w = (lambda x: F.lit(1.0)) if weights == "uniform" else (lambda x: 1.0 / (x["d"] + 1e-10))
+        total = lambda of: F.aggregate(used, F.lit(0.0), lambda sum_, x: sum_ + of(x))
+        value = F.when(F.size(used) > 0, total(lambda x, w=w: w(x) * x["v"]) / total(w))
+        df = df.join(best, same, "left").withColumn(out, F.coalesce(quoted(c).cast("double"), value)).drop("__near", *[f"__{f}" for f in shape])
     return df
 
 

@@ -220,6 +220,56 @@ def test_knn(spark):
         impute.knn(df.withColumn("n", F.lit(None).cast("double")), ["n"], k=1, order_by="i")
 
 
+def test_knn_of_many_ties_takes_little(spark):
+    """All distances are 0: one block held 5,000 x 2,000 rows of pairs."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n = 4000
+    asked = pd.DataFrame({"id": np.arange(n), "f0": np.full(n, np.nan)})
+    rows = pd.DataFrame({"id": np.arange(n)[::-1].astype(float), "f0": np.full(n, np.nan), "v": np.arange(n)[::-1].astype(float)})
+    tracemalloc.start()
+    out = impute._nearest("euclidean", 3, ["f0"])(asked, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 3 * n and set(out["r"]) == {0.0, 1.0, 2.0} and peak < 60_000_000
+
+
+def test_knn_against_brute_force(spark):
+    """Few and many different vectors, gaps in features, NaN, and blocks smaller than the table."""
+    import math
+    import random
+
+    draw = random.Random(5)
+    feature = lambda wide: draw.choice([None, math.nan, -0.0, 0.0, 1.0, 2.0]) if not wide else draw.uniform(0, 9)
+    for wide, metric, weights in ((False, "euclidean", "uniform"), (True, "euclidean", "distance"), (False, "manhattan", "distance")):
+        data = [(i, feature(wide), feature(wide), None if i % 3 == 0 else math.nan if i % 17 == 1 else draw.uniform(-5, 5)) for i in range(150)]
+        df = spark.createDataFrame(data, "i int, x double, y double, v double")
+        got = {r.i: r.v_infer for r in impute.knn(df, ["v"], k=4, metric=metric, weights=weights, order_by="i", block=4).collect()}
+        for i, *f, v in data:
+            if v is not None:
+                continue
+            near = []
+            for j, *g, w in data:
+                gaps = [abs(a - b) for a, b in zip(f, g, strict=True) if a is not None and b is not None and not math.isnan(a) and not math.isnan(b)]
+                near += [(sum(gaps) if metric == "manhattan" else math.sqrt(sum(a * a for a in gaps)), j, w)] if j != i else []
+            used = [(d, w) for d, _, w in sorted(near, key=lambda x: x[:2])[:4] if w is not None and not math.isnan(w)]
+            weigh = [1.0 if weights == "uniform" else 1 / (d + 1e-10) for d, _ in used]
+            want = sum(a * w for a, (_, w) in zip(weigh, used, strict=True)) / sum(weigh) if used else None
+            assert (got[i] is None) == (want is None) and (want is None or math.isclose(got[i], want, rel_tol=1e-9)), (i, got[i], want)
+
+
+def test_knn_asks_for_each_vector_once(spark, monkeypatch):
+    """The blocks get different vectors and a few rows of each, not rows x gaps."""
+    sizes = []
+    cells = impute._cells
+    monkeypatch.setattr(impute, "_cells", lambda a, n, b, m, *rest: sizes.append((a.count(), b.count())) or cells(a, n, b, m, *rest))
+    df = spark.range(2000).selectExpr("id", "id % 5 AS x", "CASE WHEN id % 7 <> 0 THEN id END AS v")
+    assert impute.knn(df, ["v"], k=3, order_by="id").count() == 2000 and sizes == [(5, 20)]
+
+
 def test_tfidf(spark):
     df = frame(spark, "i int, t string, l string", (1, "red apple fruit", "f"), (2, "fast blue car", "c"), (3, "green apple tree", "f"), (4, "apple fruit pie", None), (5, "the of", None))
     out = impute.tfidf(df, "l", ["t"], "g", order_by="i").orderBy("i").collect()
