@@ -451,3 +451,16 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(at("f")).count() == 5
     with pytest.raises(LoomError):
         main(["scan", "@diff", at("a.csv")])
+
+
+def test_tfidf_meets_different_vectors(spark, monkeypatch):
+    """Of labelled rows with the same text only the last meets the others; near ties are settled in double precision."""
+    sizes = []
+    cells = impute._cells
+    monkeypatch.setattr(impute, "_cells", lambda a, n, b, m, *rest: sizes.append(b.count()) or cells(a, n, b, m, *rest))
+    words = ("red apple pie", "green tea cup", "red tea", "blue sky")
+    data = [(i, words[i % 4], None if i % 5 == 0 else f"l{i}") for i in range(80)] + [(80, "zzz", None), (81, None, None)]
+    df = spark.createDataFrame(data, "i int, t string, l string")
+    got = {r.i: r.g for r in impute.tfidf(df, "l", ["t"], "g", order_by="i").collect()}
+    last = {w: f"l{max(i for i, t, label in data if t == w and label)}" for w in words}
+    assert sizes == [4] and got == {i: label or last.get(t, "l79") for i, t, label in data}
